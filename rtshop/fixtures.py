@@ -84,7 +84,8 @@ def order_detail(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"),
         F.col("l_quantity").cast("bigint").alias("sku_num"), as_text(arrival).alias("create_time"),
         F.col("l_extendedprice").alias("split_total_amount"), arrival.alias("timestamp"))
-    joined = lines.join(part.select("p_partkey", "p_retailprice", "p_name"), F.col("sku_id") == F.col("p_partkey"))
+    joined = lines.join(part.select("p_partkey", "p_retailprice", "p_name"), F.col("sku_id") == F.col("p_partkey"),
+                        "left")
     return joined.select(
         "id", "order_id", "sku_id", F.col("p_retailprice").alias("order_price"), "sku_num",
         F.col("p_name").alias("sku_name"), "create_time", "split_total_amount",

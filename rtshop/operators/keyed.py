@@ -1,33 +1,25 @@
-"""One row per key, by first or last arrival.
-
-Both operators are a single aggregation of a struct, so Spark combines rows before the shuffle: a key that holds a
-large part of the data reaches its reducer as one row per map task, never as a group.
-"""
+"""One row per key, by first or last arrival."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _packed(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
-    rest = [name for name in df.columns if name not in keys and name not in order]
-    return F.struct(*order, *rest)
-
-
-def _unpacked(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(name) if name in keys else F.col(f"_row.{name}").alias(name) for name in columns])
+def _first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key. Spark keeps one row per key and task before the shuffle, so a key with much of the
+    data never becomes a large group, and columns nobody asks for are not read."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of each key that is first by ``order``; ties go to the smaller remaining columns. Batch."""
-    reduced = df.groupBy(*keys).agg(F.min(_packed(df, keys, order)).alias("_row"))
-    return _unpacked(reduced, df.columns, keys)
+    """The row of each key that is first by ``order``. Batch."""
+    return _first_row(df, keys, [F.asc(name) for name in order])
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of each key that is last by ``order``; ties go to the larger remaining columns. Batch."""
-    reduced = df.groupBy(*keys).agg(F.max(_packed(df, keys, order)).alias("_row"))
-    return _unpacked(reduced, df.columns, keys)
+    """The row of each key that is last by ``order``. Batch."""
+    return _first_row(df, keys, [F.desc(name) for name in order])

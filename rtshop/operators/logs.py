@@ -7,16 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rtshop.functions.parsing import with_parsed
 from rtshop.functions.scalars import day_of_millis, hour_of_millis
-from rtshop.operators.keyed import first_by_key
 from rtshop.schemas import APP_LOG, CORRUPT, DAU_COLUMNS
 
 
-def _parsed(records: DataFrame) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return records.withColumn("_log", F.from_json("value", APP_LOG, options))
-
-
 def _is_readable() -> Column:
     log = F.col("_log")
     return log.isNotNull() & log[CORRUPT].isNull() & log["ts"].try_cast("bigint").isNotNull()
@@ -27,7 +22,7 @@ def normalize_logs(records: DataFrame, strict: bool = False) -> DataFrame:
 
     Malformed messages and messages without a time are left out (see ``rejected_logs``); with ``strict`` they raise.
     """
-    parsed = _parsed(records)
+    parsed = with_parsed(records, APP_LOG, "_log")
     if strict:
         ts = F.when(_is_readable(), F.col("_log.ts").try_cast("bigint")).otherwise(
             F.raise_error(F.concat(F.lit("unreadable log record: "), F.coalesce("value", F.lit("null")))))
@@ -42,7 +37,7 @@ def normalize_logs(records: DataFrame, strict: bool = False) -> DataFrame:
 
 def rejected_logs(records: DataFrame) -> DataFrame:
     """The records that ``normalize_logs`` leaves out, as they came."""
-    return _parsed(records).filter(~_is_readable()).drop("_log")
+    return with_parsed(records, APP_LOG, "_log").filter(~_is_readable()).drop("_log")
 
 
 def first_page_views(logs: DataFrame) -> DataFrame:
@@ -58,9 +53,16 @@ def device_rows(logs: DataFrame) -> DataFrame:
 
 
 def daily_active_devices(logs: DataFrame, arrival: Sequence[str] = ("ts",)) -> DataFrame:
-    """A1: the first session-opening view of each device and day, by the ``arrival`` columns. Batch."""
+    """A1: the first session-opening view of each device and day, by the ``arrival`` columns. Batch.
+
+    One aggregation by day and device. Spark combines rows before the shuffle, so a device with much of the data
+    reaches its reducer as one row per map task, and a mere count of devices needs no payload at all.
+    """
+    payload = [name for name in DAU_COLUMNS if name not in ("dt", "mid", *arrival)]
     rows = device_rows(first_page_views(logs))
-    return first_by_key(rows, ["dt", "mid"], list(arrival)).select(*DAU_COLUMNS)
+    first = rows.groupBy("dt", "mid").agg(F.min(F.struct(*arrival, *payload)).alias("_first"))
+    return first.select(*[F.col(name) if name in ("dt", "mid") else F.col(f"_first.{name}").alias(name)
+                          for name in DAU_COLUMNS])
 
 
 def count_by_interval(logs: DataFrame, interval: str = "5 seconds") -> DataFrame:

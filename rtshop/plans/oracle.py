@@ -51,7 +51,7 @@ order_detail AS (
          CAST(0 AS DOUBLE) AS split_coupon_amount, arrived
   FROM (SELECT *, {_ARRIVAL.format(key="l_orderkey")}
                   + to_seconds((l_partkey * 7 + l_suppkey * 13 + l_linenumber * 131) % 1501 - 300) AS arrived
-        FROM lineitem) JOIN part ON p_partkey = l_partkey
+        FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey
 )
 """
 _DIMS = """
