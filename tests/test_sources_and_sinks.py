@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+from conftest import rows_of
+
+from rtshop.plans.reports import ShopReports
+from rtshop.session import shared_dir
+from rtshop.sinks.batches import save_daily, topic_folder, with_partition, write_topic_files
+from rtshop.sources import jdbc, records as R
+from rtshop.sources.daily import daily_table, saved_rows
+
+SHAPE = "dt string, mid string, hr string"
+D1, D2 = "2024-01-10", "2024-01-11"
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame(list(rows), SHAPE)
+
+
+def test_last_save_of_a_key_wins(spark, folder):
+    save_daily(frame(spark, (D1, "a", "01"), (D1, "b", "02"), (D2, "a", "03")), folder, 0)
+    save_daily(frame(spark, (D1, "a", "09")), folder, 1)
+    assert rows_of(daily_table(spark, folder, ["mid"]), "dt", "mid", "hr") == [
+        (D1, "a", "09"), (D1, "b", "02"), (D2, "a", "03")]
+
+
+def test_repeated_batch_replaces_itself(spark, folder):
+    for _ in range(2):
+        save_daily(frame(spark, (D1, "a", "01"), (D2, "b", "02")), folder, 7)
+    assert saved_rows(spark, folder).count() == 2
+    save_daily(frame(spark, (D1, "a", "05")), folder, 7)
+    assert rows_of(daily_table(spark, folder, ["mid"], D1), "mid", "hr") == [("a", "05")]
+
+
+def test_only_the_asked_day_is_listed(spark, folder):
+    save_daily(frame(spark, (D1, "a", "01"), (D2, "b", "02")), folder, 0)
+    one = daily_table(spark, folder, ["mid"], "20240111")
+    assert [Path(p).parts[-3] for p in one.inputFiles()] == [f"dt={D2}"]
+    assert rows_of(one, "dt", "mid") == [(D2, "b")]
+    assert daily_table(spark, folder, ["mid"], D1, D2).count() == 2
+    assert daily_table(spark, folder, ["mid"], D2, "2024-01-12").count() == 1
+    missing = daily_table(spark, folder, ["mid"], "2024-03-01")
+    assert missing.count() == 0 and set(missing.columns) == {"dt", "mid", "hr"}
+
+
+def test_topic_files(spark, folder):
+    messages = spark.createDataFrame([("A", "1", "x"), ("A", "2", "y"), ("B", None, "z")],
+                                     "topic string, key string, value string")
+    for _ in range(2):
+        write_topic_files(messages, folder, 0)
+    assert rows_of(R.record_table(spark, folder), "topic", "key", "value") == [
+        ("A", "1", "x"), ("A", "2", "y"), ("B", None, "z")]
+    only = R.record_table(spark, topic_folder(folder, "B"))
+    assert rows_of(only, "topic", "value") == [("B", "z")]
+
+
+def test_equal_keys_share_a_partition_and_keyless_spread(spark):
+    rows = spark.range(1000).selectExpr("cast(id % 10 as string) as key", "cast(id as string) as value")
+    keyed = with_partition(rows, 4).select("key", "partition").distinct()
+    assert keyed.count() == 10
+    keyless = with_partition(rows.selectExpr("cast(null as string) as key", "value"), 4)
+    counts = [r["count"] for r in keyless.groupBy("partition").count().collect()]
+    assert len(counts) == 4 and min(counts) > 150
+
+
+def test_kafka_options():
+    assert R.kafka_options("h:9092", ["a", "b"]) == {
+        "kafka.bootstrap.servers": "h:9092", "subscribe": "a,b", "startingOffsets": "latest"}
+    options = R.kafka_options("h:9092", ["a"], {"a": {0: 5, 1: 7}}, per_trigger=1000)
+    assert json.loads(options["startingOffsets"]) == {"a": {"0": 5, "1": 7}}
+    assert options["maxOffsetsPerTrigger"] == "1000"
+
+
+def test_jdbc_options():
+    assert jdbc.query_options("jdbc:x", "select * from t", user="u") == {
+        "url": "jdbc:x", "query": "select * from t", "user": "u"}
+    assert jdbc.table_options("jdbc:x", "t", "id", 1, 1000, 8) == {
+        "url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": "1", "upperBound": "1000",
+        "numPartitions": "8"}
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def wide_row(detail_id, name, amount, age, gender, dt=D1):
+    return detail_id, name, 1, amount, age, gender, "north", "1", "i", "n", dt
+
+
+def test_reports(spark, folder):
+    dau, wide = f"{folder}/dau", f"{folder}/wide"
+    save_daily(frame(spark, (D1, "a", "09"), (D1, "b", "10"), (D2, "a", "09")), dau, 0)
+    save_daily(frame(spark, (D2, "a", "09")), dau, 1)
+    shape = ("detail_id long, sku_name string, sku_num long, split_total_amount double, user_age int, "
+             "user_gender string, province_name string, province_area_code string, province_iso_code string, "
+             "province_3166_2_code string, dt string")
+    save_daily(spark.createDataFrame([wide_row(1, "red widget", 30.0, 19, "M"), wide_row(2, "red gear", 10.0, 35, "F"),
+                                      wide_row(3, "blue gear", 10.0, 35, "F")], shape), wide, 0)
+    # The same detail saved again counts once, with the later content.
+    save_daily(spark.createDataFrame([wide_row(1, "red widget", 10.0, 19, "M")], shape), wide, 1)
+    reports = ShopReports(spark, dau, wide)
+
+    assert rows_of(reports.realtime_total("20240110")) == [("dau", "新增日活", 2)]
+    assert rows_of(reports.realtime_total("2024-05-01"), "value") == [(0,)]
+    hours = {r["hr"]: (r["today"], r["yesterday"]) for r in reports.realtime_hour(D2).collect()}
+    assert len(hours) == 24 and hours["09"] == (1, 1) and hours["10"] == (0, 1) and hours["11"] == (0, 0)
+
+    answer = reports.sale_detail(D1, "RED", page=1, size=1)
+    assert rows_of(answer.total) == [(D1, 2)]
+    assert [r["detail_id"] for r in answer.detail.collect()] == [1]
+    assert rows_of(answer.stat) == [("用户年龄占比", "20岁以下", 50.0), ("用户年龄占比", "20岁到30岁", 0.0),
+                                    ("用户年龄占比", "30岁以上", 50.0), ("用户性别占比", "女", 50.0),
+                                    ("用户性别占比", "男", 50.0)]
+    assert [r["detail_id"] for r in reports.table_page(1, 1, D1, "red").detail.collect()] == [2]
+    nothing = reports.table_page(0, 10, D1)
+    assert rows_of(nothing.total) == [(D1, 0)] and nothing.detail.count() == 0
+    assert {r["value"] for r in nothing.stat.collect()} == {0.0}
+    assert rows_of(reports.province_sales(D1), "province_name", "order_amount") == [("north", 30.0)]

@@ -1,0 +1,187 @@
+from __future__ import annotations
+
+from conftest import at, change, detail_message, log_message, order_message, rows_of
+
+from rtshop.operators import dims, logs, orders
+from rtshop.sinks.batches import save_changes, topic_folder
+from rtshop.sources.daily import changelog, daily_table, saved_rows
+from rtshop.sources.records import file_stream, record_table
+from rtshop.streaming.dau import dau_stream, run_dau
+from rtshop.streaming.order_wide import changelog_reader, run_order_wide
+from rtshop.streaming.router import run_router
+from rtshop.streaming.runtime import offset_ranges, start_job, state_rows
+
+AS_OF = "2024-01-10"
+USER, PROVINCE = ("id", "birthday", "gender"), ("id", "name", "area_code", "iso_code", "iso_3166_2")
+
+
+def logs_of(records, *entries):
+    return records([(log_message(mid, at(s), page=page), s) for mid, s, page in entries])
+
+
+def dau_job(spark, folder):
+    job = run_dau(file_stream(spark, f"{folder}/in", 1), f"{folder}/dau", f"{folder}/checkpoint", interval=None)
+    job.awaitTermination()
+    return job
+
+
+def test_dau_stream_equals_batch_and_survives_restart(spark, records, write_file, folder):
+    day = 86400
+    files = [
+        logs_of(records, ("a", 0, "first"), ("a", 1, "first"), ("b", 2, "home"), ("c", 3, "")),
+        logs_of(records, ("a", 60, "first"), ("b", 61, "first"), (None, 62, "first")),
+        logs_of(records, ("a", day, "first"), ("c", 90, "first"), ("d", day + 5, "first"), ("d", day + 6, "first")),
+    ]
+    for frame in files[:2]:
+        write_file(frame, f"{folder}/in")
+    job = dau_job(spark, folder)
+    assert rows_of(saved_rows(spark, f"{folder}/dau"), "dt", "mid", "_batch_id") == [
+        ("2024-01-10", "a", 0), ("2024-01-10", "b", 1), ("2024-01-10", "c", 0)]
+    assert state_rows(job) > 0
+    ranges = offset_ranges(job)
+    assert len(ranges) == 1 and ranges[0]["end"] is not None
+
+    write_file(files[2], f"{folder}/in")
+    dau_job(spark, folder)
+    batch = logs.daily_active_devices(logs.normalize_logs(record_table(spark, f"{folder}/in")), ["timestamp", "offset"])
+    table = daily_table(spark, f"{folder}/dau", ["mid"])
+    assert rows_of(table, "dt", "mid") == rows_of(batch, "dt", "mid")
+    # Nothing was saved twice: the state was restored.
+    assert saved_rows(spark, f"{folder}/dau").count() == table.count() == 5
+
+
+def test_dau_stream_without_salt(spark, records, write_file, folder):
+    write_file(logs_of(records, ("a", 0, "first"), ("a", 1, "first"), ("b", 2, "first")), f"{folder}/in")
+    run_dau(file_stream(spark, f"{folder}/in"), f"{folder}/dau", f"{folder}/checkpoint", interval=None,
+            salt=1).awaitTermination()
+    assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("b",)]
+
+
+def test_views_of_a_batch_are_observed(spark, records, write_file, folder):
+    write_file(logs_of(records, ("a", 0, "first"), ("a", 1, "first"), ("b", 2, "home")), f"{folder}/in")
+    job = dau_job(spark, folder)
+    counts = [p["observedMetrics"]["first_page_views"]["cnt"] for p in job.recentProgress
+              if "first_page_views" in p.get("observedMetrics", {})]
+    assert max(counts) == 2
+
+
+def test_devices_later_than_the_watermark_are_dropped(spark, records, write_file, folder):
+    day = 86400
+    write_file(logs_of(records, ("a", 3 * day, "first")), f"{folder}/in")
+    write_file(logs_of(records, ("b", 3 * day + 1, "first")), f"{folder}/in")
+    write_file(logs_of(records, ("late", 0, "first"), ("near", 2 * day + 7200, "first")), f"{folder}/in")
+    dau_job(spark, folder)
+    assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("b",), ("near",)]
+
+
+def test_empty_batches_are_not_written(spark, records, write_file, folder):
+    seen = []
+    write_file(records(["{broken"]), f"{folder}/in")
+    write_file(logs_of(records, ("a", 0, "first")), f"{folder}/in")
+    start_job(dau_stream(file_stream(spark, f"{folder}/in", 1)), lambda batch, i: seen.append((i, batch.count())),
+              f"{folder}/checkpoint", "dau_empty", interval=None).awaitTermination()
+    assert seen == [(1, 1)]
+
+
+def test_router_stream(spark, records, write_file, folder):
+    write_file(records([change("order_info", "INSERT", {"id": 1}, {"id": 2}),
+                        change("user_info", "INSERT", {"id": 1, "gender": "F", "birthday": "1990-01-01"})]),
+               f"{folder}/in")
+    write_file(records([change("order_detail", "INSERT", {"id": 9, "order_id": 1}), change("x", "INSERT", {"id": 1}),
+                        change("user_info", "UPDATE", {"id": 1, "gender": "", "birthday": "1991-01-01"})],
+                       first_offset=10), f"{folder}/in")
+    run_router(file_stream(spark, f"{folder}/in", 1), f"{folder}/topics", f"{folder}/dims", f"{folder}/checkpoint",
+               interval=None).awaitTermination()
+    assert rows_of(record_table(spark, f"{folder}/topics"), "topic", "key") == [
+        ("DWD_ORDER_DETAIL_I", "1"), ("DWD_ORDER_INFO_I", "1"), ("DWD_ORDER_INFO_I", "2")]
+    assert rows_of(dims.dim_rows(changelog(spark, f"{folder}/dims"), "DIM_USER_INFO", USER)) == [
+        ("1", "1991-01-01", "F")]
+
+
+def test_router_publishes_through_a_function(spark, records, write_file, folder):
+    sent = []
+    write_file(records([change("order_info", "INSERT", {"id": 1})]), f"{folder}/in")
+    run_router(file_stream(spark, f"{folder}/in"), lambda messages, i: sent.extend(rows_of(messages, "topic", "key")),
+               f"{folder}/dims", f"{folder}/checkpoint", interval=None).awaitTermination()
+    assert sent == [("DWD_ORDER_INFO_I", "1")]
+
+
+def order_job(spark, folder, salt=4):
+    users = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", USER)
+    provinces = changelog_reader(f"{folder}/dims", "DIM_BASE_PROVINCE", PROVINCE)
+    order_topic = topic_folder(f"{folder}/topics", "DWD_ORDER_INFO_I")
+    detail_topic = topic_folder(f"{folder}/topics", "DWD_ORDER_DETAIL_I")
+    run_order_wide(file_stream(spark, order_topic, 1), file_stream(spark, detail_topic, 1), users, provinces,
+                   f"{folder}/wide", f"{folder}/wide_checkpoint", as_of=AS_OF, interval=None,
+                   salt=salt).awaitTermination()
+
+
+def dim_save(records, folder, batch_id, *messages):
+    from rtshop.operators.changes import dim_changes, row_changes
+    rows = row_changes(records(list(messages), first_offset=batch_id * 100))
+    save_changes(dim_changes(rows, order=["timestamp", "partition", "offset"]), f"{folder}/dims", batch_id)
+
+
+def user(key, birthday, gender):
+    return change("user_info", "INSERT", {"id": key, "birthday": birthday, "gender": gender})
+
+
+NORTH = change("base_province", "INSERT", {"id": 1, "name": "north", "area_code": "110000", "iso_code": "CN-01",
+                                           "iso_3166_2": "CN-N"})
+
+
+def test_order_wide_stream_equals_batch(spark, records, write_file, folder):
+    dim_save(records, folder, 0, user(1, "2004-01-16", "F"), NORTH)
+    order_files = [[(order_message(1), 0), (order_message(2, user=99, province=7), 10)],
+                   [(order_message(3), 300), (order_message(1), 310)],
+                   [(order_message(4), 620), (order_message(5), 700)]]
+    detail_files = [[(detail_message(10, 1), 1), (detail_message(30, 3), 2), (detail_message(20, 2), 3)],
+                    [(detail_message(11, 1), 300), (detail_message(10, 1), 301), (detail_message(40, 4), 305)],
+                    [(detail_message(12, 1), 600), (detail_message(13, 1), 601), (detail_message(31, 3), 650),
+                     (detail_message(90, 9), 651)]]
+    topics = f"{folder}/topics"
+    for left, right in zip(order_files, detail_files):
+        write_file(records(left), topic_folder(topics, "DWD_ORDER_INFO_I"))
+        write_file(records(right), topic_folder(topics, "DWD_ORDER_DETAIL_I"))
+    order_job(spark, folder)
+
+    left = orders.one_row_per_order(orders.order_rows(record_table(spark, topic_folder(topics, "DWD_ORDER_INFO_I"))))
+    right = orders.detail_rows(record_table(spark, topic_folder(topics, "DWD_ORDER_DETAIL_I")))
+    pairs = orders.order_detail_interval(left, orders.distinct_details(right))
+    expected = sorted({r["d_id"] for r in pairs.collect()})
+    assert expected == [10, 11, 12, 20, 30, 31, 40]
+    table = daily_table(spark, f"{folder}/wide", ["detail_id"])
+    assert rows_of(table, "detail_id") == [(i,) for i in expected]
+    assert saved_rows(spark, f"{folder}/wide").count() == len(expected)
+    attributes = {r["detail_id"]: (r["user_age"], r["user_gender"], r["province_name"]) for r in table.collect()}
+    assert attributes[10] == (19, "F", "north") and attributes[20] == (None, None, None)
+
+
+def test_dimensions_are_read_anew_for_each_batch(spark, records, write_file, folder):
+    topics = f"{folder}/topics"
+    dim_save(records, folder, 0, user(1, "2004-01-16", "F"), NORTH)
+
+    def send(order_id, seconds):
+        write_file(records([(order_message(order_id), seconds)]), topic_folder(topics, "DWD_ORDER_INFO_I"))
+        write_file(records([(detail_message(order_id * 10, order_id), seconds)]),
+                   topic_folder(topics, "DWD_ORDER_DETAIL_I"))
+        order_job(spark, folder)
+    send(1, 0)
+    dim_save(records, folder, 1, user(1, "1990-01-01", "M"))
+    send(2, 5)
+    assert rows_of(daily_table(spark, f"{folder}/wide", ["detail_id"]), "detail_id", "user_age", "user_gender") == [
+        (10, 19, "F"), (20, 34, "M")]
+
+
+def test_change_feed_to_order_wide(spark, records, write_file, folder):
+    """Two chained jobs: the topics written by the router are the input of the join."""
+    write_file(records([
+        (user(1, "1990-01-01", "M"), 0), (NORTH, 0), (change("order_info", "INSERT", order_message(1)), 1),
+        (change("order_detail", "INSERT", detail_message(10, 1), detail_message(11, 1, split_total_amount="7.5")), 2),
+        (change("order_info", "UPDATE", order_message(1, order_status="PAID")), 3),
+        (change("order_detail", "DELETE", detail_message(10, 1)), 4)]), f"{folder}/in")
+    run_router(file_stream(spark, f"{folder}/in"), f"{folder}/topics", f"{folder}/dims", f"{folder}/checkpoint",
+               interval=None).awaitTermination()
+    order_job(spark, folder, salt=1)
+    assert rows_of(daily_table(spark, f"{folder}/wide", ["detail_id"]), "detail_id", "split_total_amount", "user_age",
+                   "province_name", "order_status") == [(10, 5.0, 34, "north", None), (11, 7.5, 34, "north", None)]
