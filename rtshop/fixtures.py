@@ -1,7 +1,8 @@
 """Shop inputs derived from the sample tables, so that every query has data and a SQL counterpart.
 
-Each frame is a projection of a given table (plus the product table for details), so it grows with it. Ids of details
-are a digest of the whole line, because the sample lines have no key; no window or counter is needed for them.
+Each frame is a projection of a given table (plus the product table for details), so it grows with it. The sample
+lines have no key: a detail id is made of the order key and a mix of the other numbers of the line, which needs no
+window and no counter.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from rtshop.operators.orders import with_order_day
 
 # Fixed values of the derivation; plans/oracle.py states the same ones in SQL.
 START = "2024-01-01 00:00:00"
+START_SECONDS = 1704067200
 SPREAD_SECONDS = 30 * 86400
 ORDER_STEP = 7919
+DETAILS_PER_ORDER = 1_000_000_000
 AS_OF = "2024-01-01"
 DATABASE = "shop"
 
@@ -30,13 +33,9 @@ def as_text(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
-def _seconds(count: Column) -> Column:
-    return F.make_dt_interval(secs=count)
-
-
-def order_arrival(order_id: Column) -> Column:
-    """When an order reached the stream: spread over thirty days by its key."""
-    return F.lit(START).cast("timestamp") + _seconds((order_id * ORDER_STEP) % SPREAD_SECONDS)
+def order_seconds(order_id: Column) -> Column:
+    """When an order reached the stream, in seconds of the epoch: spread over thirty days by its key."""
+    return F.lit(START_SECONDS) + (order_id * ORDER_STEP) % SPREAD_SECONDS
 
 
 def log_records(events: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def log_records(events: DataFrame) -> DataFrame:
 
 def order_info(orders: DataFrame) -> DataFrame:
     """Orders; province 25 has no dimension row."""
-    arrival = order_arrival(F.col("o_orderkey"))
+    seconds = order_seconds(F.col("o_orderkey"))
     none = F.lit(0.0)
     return with_order_day(orders.select(
         F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 26).alias("province_id"),
@@ -66,23 +65,21 @@ def order_info(orders: DataFrame) -> DataFrame:
         F.col("o_totalprice").alias("total_amount"), none.alias("activity_reduce_amount"),
         none.alias("coupon_reduce_amount"), F.col("o_totalprice").alias("original_total_amount"),
         none.alias("feight_fee"), none.alias("feight_fee_reduce"),
-        as_text(arrival + _seconds(F.lit(900))).alias("expire_time"),
-        F.lit(None).cast("string").alias("refundable_time"), as_text(arrival).alias("create_time"),
-        as_text(F.col("o_orderdate")).alias("operate_time"), arrival.alias("timestamp")))
+        as_text(F.timestamp_seconds(seconds + 900)).alias("expire_time"),
+        F.lit(None).cast("string").alias("refundable_time"), as_text(F.timestamp_seconds(seconds)).alias("create_time"),
+        as_text(F.col("o_orderdate")).alias("operate_time"), F.timestamp_seconds(seconds).alias("timestamp")))
 
 
 def order_detail(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Order details; they arrive from 5 minutes before to 20 minutes after their order."""
-    money = [F.col(c).cast("decimal(18,2)").cast("string")
-             for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    line = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *money, "l_returnflag",
-                       "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    quantity = F.col("l_quantity").cast("bigint")
+    mixed = (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + F.col("l_linenumber") * 1299709
+             + quantity * 15485863) % DETAILS_PER_ORDER
     lag = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 131) % 1501 - 300
-    arrival = order_arrival(F.col("l_orderkey")) + _seconds(lag)
+    arrival = F.timestamp_seconds(order_seconds(F.col("l_orderkey")) + lag)
     lines = lineitem.select(
-        F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("bigint").alias("id"),
-        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"),
-        F.col("l_quantity").cast("bigint").alias("sku_num"), as_text(arrival).alias("create_time"),
+        (F.col("l_orderkey") * DETAILS_PER_ORDER + mixed).alias("id"), F.col("l_orderkey").alias("order_id"),
+        F.col("l_partkey").alias("sku_id"), quantity.alias("sku_num"), as_text(arrival).alias("create_time"),
         F.col("l_extendedprice").alias("split_total_amount"), arrival.alias("timestamp"))
     joined = lines.join(part.select("p_partkey", "p_retailprice", "p_name"), F.col("sku_id") == F.col("p_partkey"),
                         "left")

@@ -62,8 +62,7 @@ def age_in_years(birthday: Column, as_of: str | dt.date | dt.datetime | Column)
     """Whole 365-day years between a birthday text and ``as_of``; null for an unreadable birthday."""
     moment = as_of if isinstance(as_of, Column) else F.lit(str(as_of))
     lived = F.unix_millis(moment.cast("timestamp")) - F.unix_millis(birthday.try_cast("timestamp"))
-    # Cast from double to int cuts towards zero, as integer division does; both numbers are exact in a double.
-    return (lived / F.lit(MILLIS_PER_YEAR)).cast("int")
+    return F.call_function("div", lived, F.lit(MILLIS_PER_YEAR)).cast("int")
 
 
 def day_text(value: str | dt.date) -> str:

@@ -41,10 +41,8 @@ order_info AS (
 """
 _DETAILS = f"""
 order_detail AS (
-  SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-           CAST(l_quantity AS DECIMAL(18,2)), CAST(l_extendedprice AS DECIMAL(18,2)),
-           CAST(l_discount AS DECIMAL(18,2)), CAST(l_tax AS DECIMAL(18,2)), l_returnflag, l_linestatus,
-           strftime(l_shipdate, '%Y-%m-%d'))), 1, 15) AS BIGINT) AS id,
+  SELECT l_orderkey * 1000000000 + (l_partkey * 7919 + l_suppkey * 104729 + l_linenumber * 1299709
+           + CAST(l_quantity AS BIGINT) * 15485863) % 1000000000 AS id,
          l_orderkey AS order_id, l_partkey AS sku_id, p_retailprice AS order_price,
          CAST(l_quantity AS BIGINT) AS sku_num, p_name AS sku_name, strftime(arrived, {_TEXT}) AS create_time,
          l_extendedprice AS split_total_amount, CAST(0 AS DOUBLE) AS split_activity_amount,

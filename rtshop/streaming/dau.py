@@ -9,26 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 from rtshop.operators.logs import device_rows, first_page_views, normalize_logs
 from rtshop.schemas import DAU_COLUMNS
 from rtshop.sinks.batches import save_daily
+from rtshop.streaming.repeats import SALT, drop_repeats
 from rtshop.streaming.runtime import start_job
 
 SEEN_FOR = "24 hours"
-SALT = 8
 
 
 def dau_stream(records: DataFrame, strict: bool = False, salt: int = SALT) -> DataFrame:
-    """A1: each device once per day. State is bounded by the watermark.
-
-    Rows first meet the state under a salted key: a device that sends much of a micro-batch is spread over ``salt``
-    tasks, and at most ``salt`` of its rows reach the state that holds one entry per device and day.
-    """
+    """A1: each device once per day. State is bounded by the watermark."""
     views = first_page_views(normalize_logs(records, strict)).observe(
         "first_page_views", F.count(F.lit(1)).alias("cnt"))
     rows = device_rows(views).select(*DAU_COLUMNS)
     rows = rows.withColumn("event_ts", F.timestamp_millis("ts")).withWatermark("event_ts", SEEN_FOR)
-    if salt > 1:
-        rows = (rows.withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salt)))
-                .dropDuplicatesWithinWatermark(["dt", "mid", "_salt"]).drop("_salt"))
-    return rows.dropDuplicatesWithinWatermark(["dt", "mid"]).drop("event_ts")
+    return drop_repeats(rows, ["dt", "mid"], ["ts"], salt).drop("event_ts")
 
 
 def run_dau(records: DataFrame, table: str, checkpoint: str, interval: str | None = "5 seconds",

@@ -127,7 +127,7 @@ def test_hot_order_is_split(spark, join):
     details = hot_rows(spark).selectExpr(
         "id", "hot as order_id", "id as sku_id", "1.0D as order_price", "1L as sku_num", "'red' as sku_name",
         "'2024-01-01 00:00:00' as create_time", "1.0D as split_total_amount",
-        f"timestamp'{X.START}' + make_dt_interval(0, 0, 0, (hot * {X.ORDER_STEP}) % {X.SPREAD_SECONDS}) as timestamp")
+        f"timestamp_seconds({X.START_SECONDS} + (hot * {X.ORDER_STEP}) % {X.SPREAD_SECONDS}) as timestamp")
     # Copies of the hot order must not multiply its details.
     ids = spark.range(1100).union(spark.range(500).selectExpr("1L")).selectExpr("id", "id as user")
     with settings(spark, **SMALL_SPLITS):
