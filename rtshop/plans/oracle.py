@@ -185,7 +185,7 @@ ORACLE: dict[str, str] = {
           UNION ALL SELECT id, 'gender', gender FROM merged
           UNION ALL SELECT id, 'segment', segment FROM merged
         )""",
-    "dim_key": f"SELECT c_custkey, {_ROWKEY.format('c_custkey')} AS rowkey FROM customer",
+    "dim_rowkey": f"SELECT c_custkey, {_ROWKEY.format('c_custkey')} AS rowkey FROM customer",
     "bootstrap_envelope": """
         SELECT 'shop' AS database, 'user_info' AS "table", 'INSERT' AS type, 'id' AS pk, count(*) AS row_count,
                CAST(sum(c_custkey) AS BIGINT) AS id_sum, CAST(0 AS BIGINT) AS oversized FROM customer

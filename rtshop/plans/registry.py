@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rtshop import fixtures as X
-from rtshop.functions.scalars import dim_rowkey
+from rtshop.functions import scalars
 from rtshop.operators import changes, dau, dims, keyed, logs, orders, sales, search
 from rtshop.schemas import ORDER_DETAIL, ORDER_INFO
 from rtshop.session import prepare, shared_dir
@@ -166,9 +166,9 @@ def dim_merge_open(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register
-def dim_key(spark: SparkSession, sf: str) -> DataFrame:
+def dim_rowkey(spark: SparkSession, sf: str) -> DataFrame:
     """P9."""
-    return X.table(spark, sf, "customer").select("c_custkey", dim_rowkey(F.col("c_custkey")).alias("rowkey"))
+    return X.table(spark, sf, "customer").select("c_custkey", scalars.dim_rowkey(F.col("c_custkey")).alias("rowkey"))
 
 
 @register
@@ -317,10 +317,20 @@ def search_topk_highlight(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- streams ---------------------------------------------------------------------------------------------------
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A sample table as a file stream. The pattern matches a single file as well as a folder of files."""
+FILES_PER_BATCH = 1000
+
+
+def _stream(spark: SparkSession, sf: str, name: str, in_order: bool = False) -> DataFrame:
+    """A sample table as a file stream. The pattern matches a single file as well as a folder of files.
+
+    Jobs with a watermark need rows in time order, which the files of a table are not: with ``in_order`` all files are
+    one micro-batch. Other jobs take a bounded number of files at a time.
+    """
     shape = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    rows = spark.readStream.schema(shape).parquet(f"{sf}/{name}.parquet*")
+    reader = spark.readStream.schema(shape)
+    if not in_order:
+        reader = reader.option("maxFilesPerTrigger", FILES_PER_BATCH)
+    rows = reader.parquet(f"{sf}/{name}.parquet*")
     return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c)
                          for c, kind in rows.dtypes])
 
@@ -333,7 +343,8 @@ def _work_folder(spark: SparkSession, name: str) -> str:
 def stream_dau(spark: SparkSession, sf: str) -> DataFrame:
     """The device stream into its day table, which is then read back."""
     folder = _work_folder(spark, "stream_dau")
-    job = run_dau(X.log_records(_stream(spark, sf, "events")), f"{folder}/dau", f"{folder}/checkpoint", interval=None)
+    job = run_dau(X.log_records(_stream(spark, sf, "events", in_order=True)), f"{folder}/dau", f"{folder}/checkpoint",
+                  interval=None)
     job.awaitTermination()
     return daily_table(spark, f"{folder}/dau", ["mid"]).select("dt", "mid")
 
@@ -362,8 +373,8 @@ def stream_dim_merge(spark: SparkSession, sf: str) -> DataFrame:
 def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Both fact streams into the order-wide day table, which is then read back."""
     folder = _work_folder(spark, "stream_order_wide")
-    order_records = X.fact_records(X.order_info(_stream(spark, sf, "orders")), "DWD_ORDER_INFO_I", "id")
-    details = X.order_detail(_stream(spark, sf, "lineitem"), X.table(spark, sf, "part"))
+    order_records = X.fact_records(X.order_info(_stream(spark, sf, "orders", in_order=True)), "DWD_ORDER_INFO_I", "id")
+    details = X.order_detail(_stream(spark, sf, "lineitem", in_order=True), X.table(spark, sf, "part"))
     detail_records = X.fact_records(details, "DWD_ORDER_DETAIL_I", "order_id")
     job = run_order_wide(order_records, detail_records, lambda s, keys: _users(s, sf),
                          lambda s, keys: _provinces(s, sf), f"{folder}/wide", f"{folder}/checkpoint", as_of=X.AS_OF,

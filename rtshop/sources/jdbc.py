@@ -27,3 +27,13 @@ def table_rows(spark: SparkSession, url: str, name: str, column: str, lower: int
     """S3 for whole tables, read in parallel."""
     options = table_options(url, name, column, lower, upper, partitions, **connection)
     return spark.read.format("jdbc").options(**options).load()
+
+
+def keyed_table(spark: SparkSession, url: str, name: str, column: str = "id", partitions: int = 32,
+                **connection: str) -> DataFrame:
+    """S3 for a whole table with a numeric key: its key bounds are asked first, then key ranges are read in parallel."""
+    bounds = query_rows(spark, url, f"select min({column}) as low, max({column}) as high from {name}", **connection)
+    low, high = bounds.first()
+    if low is None:
+        return query_rows(spark, url, f"select * from {name}", **connection)
+    return table_rows(spark, url, name, column, int(low), int(high) + 1, partitions, **connection)

@@ -74,13 +74,16 @@ def test_devices_later_than_the_watermark_are_dropped(spark, records, write_file
     assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("b",), ("near",)]
 
 
-def test_empty_batches_are_not_written(spark, records, write_file, folder):
+def test_empty_batches_are_not_written(spark, records, write_file, folder, caplog):
+    caplog.set_level("INFO", logger="rtshop")
     seen = []
     write_file(records(["{broken"]), f"{folder}/in")
     write_file(logs_of(records, ("a", 0, "first")), f"{folder}/in")
     start_job(dau_stream(file_stream(spark, f"{folder}/in", 1)), lambda batch, i: seen.append((i, batch.count())),
               f"{folder}/checkpoint", "dau_empty", interval=None).awaitTermination()
     assert seen == [(1, 1)]
+    assert [r.getMessage() for r in caplog.records if r.name == "rtshop"] == [
+        "dau_empty: batch 0, 0 rows written", "dau_empty: batch 1, 1 rows written"]
 
 
 def test_router_stream(spark, records, write_file, folder):
