@@ -261,6 +261,28 @@ ORACLE: dict[str, str] = {
         SELECT p_name, p_retailprice, regexp_replace(p_name, '\b(red|widget)\b', '<span>\1</span>', 'gi') AS highlight
         FROM part WHERE list_has_any(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red', 'widget'])
         ORDER BY p_retailprice DESC, p_partkey LIMIT 2""",
+    "report_realtime_hour": f"""
+        WITH {_DAU}
+        SELECT lpad(CAST(h AS VARCHAR), 2, '0') AS hr, coalesce(t.cnt, 0) AS today, coalesce(y.cnt, 0) AS yesterday
+        FROM (SELECT unnest(range(24)) AS h)
+        LEFT JOIN hourly t ON t.dt = '2024-01-10' AND t.hr = lpad(CAST(h AS VARCHAR), 2, '0')
+        LEFT JOIN hourly y ON y.dt = '2024-01-09' AND y.hr = lpad(CAST(h AS VARCHAR), 2, '0')""",
+    "report_sale_stat": f"""
+        WITH {_HITS},
+        parts AS (
+          SELECT CASE WHEN user_age < 20 THEN '{S.AGE_BANDS[0]}' WHEN user_age < 30 THEN '{S.AGE_BANDS[1]}'
+                 ELSE '{S.AGE_BANDS[2]}' END AS name, sum(amount) AS amount
+          FROM ages WHERE dt = '2024-01-10' GROUP BY 1
+          UNION ALL
+          SELECT CASE WHEN user_gender = 'M' THEN '{S.GENDER_MALE}' ELSE '{S.GENDER_FEMALE}' END, sum(amount)
+          FROM genders WHERE dt = '2024-01-10' GROUP BY 1
+        ),
+        labels_ (title, name) AS (VALUES
+          ('{S.AGE_TITLE}', '{S.AGE_BANDS[0]}'), ('{S.AGE_TITLE}', '{S.AGE_BANDS[1]}'),
+          ('{S.AGE_TITLE}', '{S.AGE_BANDS[2]}'), ('{S.GENDER_TITLE}', '{S.GENDER_MALE}'),
+          ('{S.GENDER_TITLE}', '{S.GENDER_FEMALE}'))
+        SELECT l.title, l.name, {_percent("p.amount")} AS value
+        FROM labels_ l LEFT JOIN parts p ON p.name = l.name LEFT JOIN whole w ON w.dt = '2024-01-10'""",
     "stream_dau": f"WITH {_DAU} SELECT dt, mid FROM dau",
     "stream_cdc_route": f"WITH {_ROUTED} SELECT topic, key, value FROM routed",
     "stream_dim_merge": _MERGED_ROWS,

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from rtshop import fixtures as X
 from rtshop.functions import scalars
 from rtshop.operators import changes, dau, dims, keyed, logs, orders, sales, search
+from rtshop.plans.reports import ShopReports
 from rtshop.schemas import ORDER_DETAIL, ORDER_INFO
 from rtshop.session import prepare, shared_dir
-from rtshop.sinks.batches import with_partition
+from rtshop.sinks.batches import save_daily, with_partition
 from rtshop.sources.bootstrap import bootstrap_messages
 from rtshop.sources.daily import changelog, daily_table
 from rtshop.sources.records import record_table
@@ -81,6 +82,10 @@ def _dim_changelog(spark: SparkSession, sf: str) -> DataFrame:
     return changes.dim_changes(changes.row_changes(records), order=["offset"])
 
 
+def _work_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # ---- logs and active devices -----------------------------------------------------------------------------------
 
 @register
@@ -315,6 +320,27 @@ def search_topk_highlight(spark: SparkSession, sf: str) -> DataFrame:
                              key="p_partkey", fields=["p_name", "p_retailprice"], size=2)
 
 
+# ---- reports over day tables -----------------------------------------------------------------------------------
+
+REPORT_DAY = "2024-01-10"
+
+
+@register
+def report_realtime_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """Devices saved into a day table, then asked by day."""
+    folder = _work_folder(spark, "report_dau")
+    save_daily(_dau(spark, sf), folder, 0)
+    return ShopReports(spark, folder, "").realtime_hour(REPORT_DAY)
+
+
+@register
+def report_sale_stat(spark: SparkSession, sf: str) -> DataFrame:
+    """Order-wide rows saved into a day table, then searched by day."""
+    folder = _work_folder(spark, "report_wide")
+    save_daily(_wide(spark, sf), folder, 0)
+    return ShopReports(spark, "", folder).sale_detail(REPORT_DAY.replace("-", ""), KEYWORD).stat
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 FILES_PER_BATCH = 1000
@@ -335,10 +361,6 @@ def _stream(spark: SparkSession, sf: str, name: str, in_order: bool = False) ->
                          for c, kind in rows.dtypes])
 
 
-def _work_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @register
 def stream_dau(spark: SparkSession, sf: str) -> DataFrame:
     """The device stream into its day table, which is then read back."""

@@ -16,7 +16,7 @@ from rtshop.sinks.batches import save_daily
 from rtshop.sources.daily import daily_table
 
 SF = "/root/testdata/sf0.001"
-BATCH = [name for name in registry.QUERIES if not name.startswith("stream_")]
+BATCH = [name for name in registry.QUERIES if not name.startswith(("stream_", "report_"))]
 
 
 @contextmanager
