@@ -361,12 +361,16 @@ def _stream(spark: SparkSession, sf: str, name: str, in_order: bool = False) ->
                          for c, kind in rows.dtypes])
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 @register
 def stream_dau(spark: SparkSession, sf: str) -> DataFrame:
     """The device stream into its day table, which is then read back."""
     folder = _work_folder(spark, "stream_dau")
     job = run_dau(X.log_records(_stream(spark, sf, "events", in_order=True)), f"{folder}/dau", f"{folder}/checkpoint",
-                  interval=None)
+                  interval=None, partitions=_state_partitions(spark))
     job.awaitTermination()
     return daily_table(spark, f"{folder}/dau", ["mid"]).select("dt", "mid")
 
@@ -400,6 +404,6 @@ def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
     detail_records = X.fact_records(details, "DWD_ORDER_DETAIL_I", "order_id")
     job = run_order_wide(order_records, detail_records, lambda s, keys: _users(s, sf),
                          lambda s, keys: _provinces(s, sf), f"{folder}/wide", f"{folder}/checkpoint", as_of=X.AS_OF,
-                         interval=None)
+                         interval=None, partitions=_state_partitions(spark))
     job.awaitTermination()
     return daily_table(spark, f"{folder}/wide", ["detail_id"])

@@ -25,7 +25,7 @@ def dau_stream(records: DataFrame, strict: bool = False, salt: int = SALT) -> Da
 
 
 def run_dau(records: DataFrame, table: str, checkpoint: str, interval: str | None = "5 seconds",
-            strict: bool = False, salt: int = SALT) -> StreamingQuery:
+            strict: bool = False, salt: int = SALT, partitions: int | None = None) -> StreamingQuery:
     """K5: keep the day table of active devices; its key is ``mid``."""
     return start_job(dau_stream(records, strict, salt), lambda batch, batch_id: save_daily(batch, table, batch_id),
-                     checkpoint, "dau", interval)
+                     checkpoint, "dau", interval, partitions)

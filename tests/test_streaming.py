@@ -57,6 +57,17 @@ def test_dau_stream_without_salt(spark, records, write_file, folder):
     assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("b",)]
 
 
+def test_a_job_takes_its_settings_and_leaves_the_session_alone(spark, records, write_file, folder):
+    write_file(logs_of(records, ("a", 0, "first")), f"{folder}/in")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions",
+                                                   "spark.sql.streaming.noDataMicroBatches.enabled")}
+    job = run_dau(file_stream(spark, f"{folder}/in"), f"{folder}/dau", f"{folder}/checkpoint", interval=None,
+                  partitions=2)
+    job.awaitTermination()
+    assert {op["numShufflePartitions"] for op in job.lastProgress["stateOperators"]} == {2}
+    assert before == {key: spark.conf.get(key) for key in before}
+
+
 def test_views_of_a_batch_are_observed(spark, records, write_file, folder):
     write_file(logs_of(records, ("a", 0, "first"), ("a", 1, "first"), ("b", 2, "home")), f"{folder}/in")
     job = dau_job(spark, folder)
