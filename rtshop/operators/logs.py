@@ -52,17 +52,19 @@ def device_rows(logs: DataFrame) -> DataFrame:
     return flat.filter(F.col("mid").isNotNull())
 
 
-def daily_active_devices(logs: DataFrame, arrival: Sequence[str] = ("ts",)) -> DataFrame:
+def daily_active_devices(logs: DataFrame, arrival: Sequence[str] = ("ts",),
+                         columns: Sequence[str] = DAU_COLUMNS) -> DataFrame:
     """A1: the first session-opening view of each device and day, by the ``arrival`` columns. Batch.
 
     One aggregation by day and device. Spark combines rows before the shuffle, so a device with much of the data
-    reaches its reducer as one row per map task, and a mere count of devices needs no payload at all.
+    reaches its reducer as one row per map task. ``columns`` names what is wanted of the view: only that is shuffled,
+    and a mere count of devices shuffles none of it.
     """
-    payload = [name for name in DAU_COLUMNS if name not in ("dt", "mid", *arrival)]
+    payload = [name for name in columns if name not in ("dt", "mid", *arrival)]
     rows = device_rows(first_page_views(logs))
     first = rows.groupBy("dt", "mid").agg(F.min(F.struct(*arrival, *payload)).alias("_first"))
     return first.select(*[F.col(name) if name in ("dt", "mid") else F.col(f"_first.{name}").alias(name)
-                          for name in DAU_COLUMNS])
+                          for name in columns])
 
 
 def count_by_interval(logs: DataFrame, interval: str = "5 seconds") -> DataFrame:

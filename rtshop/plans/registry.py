@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from rtshop import fixtures as X
 from rtshop.functions import scalars
 from rtshop.operators import changes, dau, dims, keyed, logs, orders, sales, search
 from rtshop.plans.reports import ShopReports
-from rtshop.schemas import ORDER_DETAIL, ORDER_INFO
+from rtshop.schemas import DAU_COLUMNS, ORDER_DETAIL, ORDER_INFO
 from rtshop.session import prepare, shared_dir
 from rtshop.sinks.batches import save_daily, with_partition
 from rtshop.sources.bootstrap import bootstrap_messages
@@ -48,8 +48,8 @@ def _log_columns(df: DataFrame) -> DataFrame:
                      "common.vc", F.col("page").isNotNull().alias("has_page"), "page.last_page_id", "ts", "dt", "hr")
 
 
-def _dau(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.daily_active_devices(_logs(spark, sf), ["ts", "offset"])
+def _dau(spark: SparkSession, sf: str, columns: Sequence[str] = DAU_COLUMNS) -> DataFrame:
+    return logs.daily_active_devices(_logs(spark, sf), ["ts", "offset"], columns)
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,13 +121,13 @@ def dau_total(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def dau_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """A4."""
-    return dau.dau_hourly(_dau(spark, sf))
+    return dau.dau_hourly(_dau(spark, sf, ("dt", "mid", "hr")))
 
 
 @register
 def dau_hourly_compare(spark: SparkSession, sf: str) -> DataFrame:
     """J6, A11, P12."""
-    return dau.dau_hourly_compare(_dau(spark, sf))
+    return dau.dau_hourly_compare(_dau(spark, sf, ("dt", "mid", "hr")))
 
 
 # ---- change log ------------------------------------------------------------------------------------------------

@@ -47,6 +47,8 @@ def test_one_row_per_device_and_day(records):
     rows = logs.daily_active_devices(logs.normalize_logs(source), ["ts", "offset"])
     assert rows_of(rows, "dt", "mid", "uid", "hr") == [
         ("2024-01-10", "m1", "a", "12"), ("2024-01-10", "m2", "u", "12"), ("2024-01-11", "m1", "u", "12")]
+    hours = logs.daily_active_devices(logs.normalize_logs(source), ["ts", "offset"], ["mid", "hr"])
+    assert rows_of(hours) == [("m1", "12"), ("m1", "12"), ("m2", "12")]
     by_arrival = logs.daily_active_devices(logs.normalize_logs(source), ["offset"])
     assert ("2024-01-10", "m1", "b") in rows_of(by_arrival, "dt", "mid", "uid")
 

@@ -56,6 +56,12 @@ def test_counting_devices_needs_no_payload(spark):
     assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 2
 
 
+def test_hours_of_devices_need_only_the_hour(spark):
+    plan = plan_of(registry.dau_hourly(spark, SF))
+    aggregates = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert aggregates and all("hr" in line and "vc" not in line for line in aggregates)
+
+
 def test_routing_does_not_shuffle(spark):
     assert "Exchange" not in plan_of(registry.cdc_route_facts(spark, SF))
 

@@ -97,6 +97,14 @@ def test_empty_batches_are_not_written(spark, records, write_file, folder, caplo
         "dau_empty: batch 0, 0 rows written", "dau_empty: batch 1, 1 rows written"]
 
 
+def test_unreadable_records_of_a_stream_can_be_kept(spark, records, write_file, folder):
+    kept = []
+    write_file(records(["{broken", log_message("a", at(0))]), f"{folder}/in")
+    start_job(logs.rejected_logs(file_stream(spark, f"{folder}/in")), lambda batch, i: kept.extend(rows_of(batch, "value")),
+              f"{folder}/checkpoint", "rejected", interval=None).awaitTermination()
+    assert kept == [("{broken",)]
+
+
 def test_router_stream(spark, records, write_file, folder):
     write_file(records([change("order_info", "INSERT", {"id": 1}, {"id": 2}),
                         change("user_info", "INSERT", {"id": 1, "gender": "F", "birthday": "1990-01-01"})]),
