@@ -4,17 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rtshop.llm import decontaminate
+from rtshop.llm import decontaminate, token_blocks, token_counts
 from rtshop.llm.common import table
 
+# Vocabulary files of public tokenizers, by the package that describes where they are.
+BLOCK_VOCABULARY = "word_bpe_49k.json"
+COUNT_VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.store_tokens(table(spark, sf_dir, "documents"), vocabulary(BLOCK_VOCABULARY))
+
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                             keep=["doc_id"])
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(COUNT_VOCABULARY), keep=["doc_id"])
+
+
 QUERIES = {
+    "op4_token_blocks": op4_token_blocks,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE: dict[str, str] = {}
