@@ -41,6 +41,15 @@ def count_words(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), WHITE, ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row.
+
+    The optimizer copies columns into the filters it moves down. A value that a lambda would then compute again for each
+    element is bound to a name here, so that no plan can make the cost of a text grow with its square.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def add_columns(df: DataFrame, make: Callable[..., list], fields: list[T.StructField], reads: list[str],
                 keep: list[str] | None = None) -> DataFrame:
     """``df``'s ``keep`` columns (all by default) and those that ``make`` computes from Arrow columns ``reads``.

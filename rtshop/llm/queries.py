@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rtshop.llm import decontaminate, token_blocks, token_counts
+from rtshop.llm import decontaminate, licenses, mixing, quality, simhash, token_blocks, token_counts
 from rtshop.llm.common import table
 
 # Vocabulary files of public tokenizers, by the package that describes where they are.
@@ -17,6 +17,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.store_tokens(table(spark, sf_dir, "documents"), vocabulary(BLOCK_VOCABULARY))
 
@@ -30,10 +38,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(COUNT_VOCABULARY), keep=["doc_id"])
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           quality.trusted_documents(table(spark, sf_dir, "labels")))
+    return judged.drop("text")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_simhash": op3_simhash,
     "op4_token_blocks": op4_token_blocks,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mixing": mixing.oracle(),
+}
