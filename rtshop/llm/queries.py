@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rtshop.llm import decontaminate, licenses, mixing, quality, simhash, token_blocks, token_counts
+from rtshop.llm import (
+    decontaminate, html_template, licenses, mixing, quality, repeats, simhash, token_blocks, token_counts, url_filter)
 from rtshop.llm.common import table
 
 # Vocabulary files of public tokenizers, by the package that describes where they are.
@@ -21,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,14 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.store_tokens(table(spark, sf_dir, "documents"), vocabulary(BLOCK_VOCABULARY))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                             keep=["doc_id"])
@@ -50,8 +63,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_html_template": op2_html_template,
     "op3_simhash": op3_simhash,
     "op4_token_blocks": op4_token_blocks,
+    "op5_url_filter": op5_url_filter,
+    "op6_repeats": op6_repeats,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
