@@ -168,7 +168,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     """
     marked = near_duplicates(docs.withColumn("llm_tie", F.xxhash64("text")), radius, shingle, keep=["llm_tie"])
     # The winner of a class, as (id, hash of the text): aggregated before the shuffle.
-    winners = marked.groupBy("component_id").agg(F.min(F.struct("doc_id", "llm_tie")).alias("w"))
+    winners = marked.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "llm_tie")).alias("w"))
     key = lambda doc_id, tie: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), tie.cast("string"))
     winners = winners.select(key(F.col("w.doc_id"), F.col("w.llm_tie")).alias("llm_key"))
     rows = docs.select(F.struct(*docs.columns).alias("llm_row"),
