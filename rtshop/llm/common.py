@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,7 +29,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read again."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are staged.
+
+    The cleaner learns that a shuffle is no longer referenced when the driver collects its garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

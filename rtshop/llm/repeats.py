@@ -9,12 +9,13 @@ first copy stays. The work is exact and distributed:
 2. Filter. Hashes that occur once cannot repeat. Tasks send the distinct hashes of their anchors, four bytes each, by
    bucket; a bucket marks those met twice in its slice of a bit filter of fixed size. The filter only saves work: a
    false mark costs a comparison, and when the corpus outgrows the filter all fragments are compared.
-3. Previous factors. Fragments that pass are reduced to distinct ones with their smallest document id. Those of one hash
-   are put into a suffix array; the previous and the next smaller document in suffix order bound the longest previous
-   factor of each window's start. Where it reaches ``length``, the window is found in an earlier document.
-   An anchor with more than ``GROUP`` distinct fragments is not brought together: its windows are grouped by content.
-4. A document later than the fragment's first loses all the fragment's windows, the first one those with a previous
-   factor. The places are collected by document, and the text is cut where it is.
+3. Fragments that pass are reduced, by a hash of 64 bits beside the anchor's own, to distinct ones with the smallest
+   document id. A later document of the same fragment loses all its windows.
+4. Previous factors. Where an anchor has different fragments, their bytes are gathered and put into a suffix array; the
+   nearest smaller document before and after a window's start in suffix order bound its longest previous factor. Where
+   it reaches ``length``, the first document of the fragment loses the window as well. An anchor with more than
+   ``GROUP`` distinct fragments is not brought together: its windows are grouped by content.
+5. The places are collected by document, and the text is cut where it is.
 
 Defined results
 ---------------
@@ -32,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rtshop.llm.common import add_columns, slices, staged
+from rtshop.llm.common import add_columns, discard, release, slices, staged
 
 LENGTH = 50
-GRAM = 24
+GRAM = 16
 BLOCK_BYTES = 1_000_000
 FILTER_BYTES = 32 * 1024 * 1024
 GROUP = 2000
@@ -145,25 +147,13 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def repeated_filter(rows: DataFrame, length: int, gram: int, buckets: int, size: int) -> list[bytes]:
-    """Slices of the bit filter that holds every anchor hash met more than once. ``size`` bytes in all, at any scale."""
-    own = max(8, size // buckets)
+def bit_filter(sent: DataFrame, buckets: int, size: int) -> list[bytes]:
+    """Slices of a filter of ``size`` bytes that holds the hashes sent more than once.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
-        for batch in batches:
-            for data, ends, _, _ in blocks(batch.column(0).to_pylist(), length, BLOCK_BYTES):
-                seen.append(anchors(data, ends, length, gram)[0])
-        if not seen:
-            return
-        values, counts = np.unique(np.concatenate(seen), return_counts=True)
-        which = bucket_of(values, buckets)
-        for b in np.unique(which).tolist():
-            mine, many = values[which == b], counts[which == b] > 1
-            # Met twice in this task: sent twice.
-            short = np.concatenate([mine, mine[many]]).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([short.tobytes()], pa.binary())],
-                                             names=["bucket", "short"])
+    ``sent`` has ``bucket`` and ``short``, packed low halves of hashes. A bucket marks its own slice, so what the driver
+    collects is the filter itself, of one size at any scale.
+    """
+    own = max(8, size // buckets)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -179,14 +169,52 @@ def repeated_filter(rows: DataFrame, length: int, gram: int, buckets: int, size:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())],
                                              names=["bucket", "bits"])
 
-    sent = rows.select(F.col("text").cast("binary")).mapInArrow(gather, "bucket int, short binary")
     marked = sent.repartition(buckets, "bucket").mapInArrow(mark, "bucket int, bits binary")
     found = {r["bucket"]: bytes(r["bits"]) for r in marked.collect()}
     return [found.get(b, bytes(own)) for b in range(buckets)]
 
 
-def passes(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether hashes are in the filter: a row of bytes for each bucket."""
+def packed(h: np.ndarray, again: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct hashes of a task by bucket; those in ``again`` were met twice here and are sent twice."""
+    which = bucket_of(h, buckets)
+    order = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        rows = order[ends[b]:ends[b + 1]]
+        if len(rows):
+            short = np.concatenate([h[rows], h[rows[again[rows]]]]).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([short.tobytes()], pa.binary())],
+                                             names=["bucket", "short"])
+
+
+def anchor_filter(rows: DataFrame, length: int, gram: int, buckets: int, size: int) -> list[bytes]:
+    """Filter of the anchor hashes that occur more than once."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = []
+        for batch in batches:
+            for data, ends, _, _ in blocks(batch.column(0).to_pylist(), length, BLOCK_BYTES):
+                seen.append(anchors(data, ends, length, gram)[0])
+        if seen:
+            values, counts = np.unique(np.concatenate(seen), return_counts=True)
+            yield from packed(values, counts > 1, buckets)
+
+    return bit_filter(rows.select("text").mapInArrow(gather, "bucket int, short binary"), buckets, size)
+
+
+def mixed_filter(firsts: DataFrame, buckets: int, size: int) -> list[bytes]:
+    """Filter of the anchor hashes around which there are different fragments. ``firsts`` has each fragment once."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [batch.column(0).to_numpy() for batch in batches]
+        if seen:
+            values, counts = np.unique(np.concatenate(seen).view(np.uint64), return_counts=True)
+            yield from packed(values, counts > 1, buckets)
+
+    return bit_filter(firsts.select("h").mapInArrow(gather, "bucket int, short binary"), buckets, size)
+
+
+def passes(h: np.ndarray, slices_of: list[bytes]) -> np.ndarray:
+    """Whether hashes are in the filter."""
+    table = np.frombuffer(b"".join(slices_of), np.uint8).reshape(len(slices_of), -1)
     b = bucket_of(h, len(table))
     keep = np.ones(len(h), bool)
     for places in filter_bits(h, 8 * table.shape[1]):
@@ -248,21 +276,16 @@ def factor_masks(fragments: list[bytes], docs: np.ndarray, length: int) -> np.nd
 
 
 def _factor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(h, off, fragment, first) in order of h to (h, off, fh, first, mask); groups are never cut."""
-    names = ["h", "off", "fh", "first", "mask"]
-
+    """(h, k, fragment, first) in order of h to (k, mask) with windows that are found earlier; groups are never cut."""
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h, off, fh, first, fragments = map(list, zip(*rows))
-        keys, docs = np.array(h, np.int64), np.array(first, np.int64)
-        masks = np.zeros(len(rows), np.int64)
-        # An anchor with one distinct fragment has nothing to compare.
-        _, group, count = np.unique(keys, return_inverse=True, return_counts=True)
+        h, k, fragments, first = map(list, zip(*rows))
+        _, group, count = np.unique(np.array(h, np.int64), return_inverse=True, return_counts=True)
         some = np.flatnonzero(count[group] > 1)
+        masks = np.zeros(len(rows), np.int64)
         if len(some):
-            masks[some] = factor_masks([fragments[k] for k in some], docs[some], length)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(off, pa.int32()), pa.array(fh, pa.int64()), pa.array(docs),
-             pa.array(masks)], names=names)
+            masks[some] = factor_masks([fragments[i] for i in some], np.array(first, np.int64)[some], length)
+        hit = np.flatnonzero(masks)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(k, np.int64)[hit]), pa.array(masks[hit])], names=["k", "mask"])
 
     held: list[tuple] = []
     for batch in batches:
@@ -279,64 +302,102 @@ def _factor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 # --- The operator -------------------------------------------------------------------------------------------------
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bytes: int = FILTER_BYTES,
-                     group: int = GROUP) -> DataFrame:
-    """``doc_id, tie, first_window, mask``: windows of ``docs`` that start in a smaller document too.
+def _anchored(rows: DataFrame, held, length: int, gram: int, with_bytes: bool) -> DataFrame:
+    """Fragments of ``rows`` (``doc_id, tie, text``) whose anchor passes the broadcast filter ``held``.
 
-    ``tie`` is a hash of the text, ``first_window`` the byte at which a stretch of windows begins, and bit j of ``mask``
-    says that the window j bytes on is found earlier.
+    Without bytes ``k, h, n, doc_id, at``: hash of the fragment, of the anchor, number of windows, and the place, that
+    is the first window and the row's tie in one long. With bytes ``h, doc_id, fragment``.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(
-        F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = spark.sparkContext.broadcast(repeated_filter(rows, length, gram, buckets, filter_bytes))
-
-    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(b"".join(held.value), np.uint8).reshape(len(held.value), -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = (np.array(c.to_pylist(), np.int64) for c in batch.columns[:2])
             for data, ends, number, offset in blocks(batch.column(2).to_pylist(), length, BLOCK_BYTES):
-                h, first, last, place = anchors(data, ends, length, gram)
-                keep = passes(h, table)
-                h, first, last, place = h[keep], first[keep], last[keep], place[keep]
-                if not len(h):
-                    continue
+                h, first, last, _ = anchors(data, ends, length, gram)
+                keep = passes(h, held.value)
+                h, first, last = h[keep], first[keep], last[keep]
                 piece = np.searchsorted(ends, first, "right")
-                begin = np.concatenate([[0], ends[:-1]])[piece]
                 raw = data.tobytes()
                 cut = [raw[a:b] for a, b in zip(first.tolist(), (last + length).tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[number[piece]]), pa.array(ties[number[piece]]), pa.array(first - begin + offset[piece]),
-                     pa.array(h.view(np.int64)), pa.array((place - first).astype(np.int32)), pa.array(cut, pa.binary())],
-                    names=["doc_id", "tie", "first_window", "h", "off", "fragment"])
-
-    # Staged once: read for the distinct fragments, and again, without their bytes, for the verdicts.
-    found = staged(rows.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary"))
-                   .mapInArrow(fragments, "doc_id long, tie long, first_window long, h long, off int, fragment binary")
-                   .withColumn("fh", F.xxhash64("fragment")), "fragments")
-    distinct = staged(found.groupBy("h", "off", "fragment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-                                                                F.first("fh").alias("fh")), "distinct")
-    crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("h")
+                owner = number[piece]
+                if with_bytes:
+                    columns = [pa.array(h.view(np.int64)), pa.array(ids[owner]), pa.array(cut, pa.binary())]
+                else:
+                    k = np.fromiter(map(xxhash.xxh64_intdigest, cut), np.uint64, len(cut)).view(np.int64)
+                    at = first - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
+                    columns = [pa.array(c) for c in (k, h.view(np.int64), last - first + 1, ids[owner],
+                                                     at << 32 | ties[owner] & 0xFFFFFFFF)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "h long, doc_id long, fragment binary" if with_bytes else "k long, h long, n long, doc_id long, at long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    return rows.mapInArrow(run, schema)
+
+
+def _factors(rows: DataFrame, firsts: DataFrame, buckets: int, length: int, gram: int, filter_bytes: int,
+             group: int) -> DataFrame:
+    """``k, mask`` of the fragments with windows that an earlier document holds within another fragment."""
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast(mixed_filter(firsts, buckets, filter_bytes))
+    distinct = staged(_anchored(rows, held, length, gram, True).groupBy("h", "fragment").agg(F.min("doc_id").alias("first")),
+                      "distinct")
+    crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > group).select("h")
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = batch.column(1).to_pylist()
+            k = np.fromiter(map(xxhash.xxh64_intdigest, cut), np.uint64, len(cut)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k), *batch.columns[1:]],
+                                             names=["h", "k", "fragment", "first"])
+
+    keyed = distinct.select("h", "fragment", "first").mapInArrow(with_key, "h long, k long, fragment binary, first long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    calm = (distinct.join(crowded, "h", "left_anti").select("h", "off", "fh", "first", "fragment")
-            .repartition(n, "h").sortWithinPartitions("h")
-            .mapInArrow(lambda batches: _factor_rows(batches, length), "h long, off int, fh long, first long, mask long"))
+    calm = (keyed.join(crowded, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h")
+            .mapInArrow(lambda batches: _factor_rows(batches, length), "k long, mask long"))
     # Windows of anchors with very many fragments, one by one: the smallest document of each content.
     place = F.explode(F.sequence(F.lit(0), F.length("fragment") - length))
-    single = (distinct.join(crowded, "h", "left_semi").select("h", "off", "fh", "first", "fragment", place.alias("j"))
-              .select("h", "off", "fh", "first", "j", F.expr(f"substring(fragment, j + 1, {length})").alias("window")))
+    single = (keyed.join(crowded, "h", "left_semi").select("k", "first", "fragment", place.alias("j"))
+              .select("k", "first", "j", F.expr(f"substring(fragment, j + 1, {length})").alias("window")))
     lowest = single.groupBy("window").agg(F.min("first").alias("lowest"))
-    bit = F.when(F.col("lowest") < F.col("first"), F.expr("shiftleft(1L, j)")).otherwise(F.lit(0))
-    many = single.join(lowest, "window").groupBy("h", "off", "fh", "first").agg(F.bit_or(bit).alias("mask"))
-    verdicts = calm.union(many.select("h", "off", "fh", "first", "mask"))
-    # A later document of the same fragment loses all of its windows, the first one what its mask says.
-    size = F.expr(f"length(fragment) - {length - 1}")
-    places = found.select("doc_id", "tie", "first_window", "h", "off", "fh", size.alias("n"))
-    lost = places.join(verdicts, ["h", "off", "fh"]).select(
-        "doc_id", "tie", "first_window",
-        F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask")).alias("mask"))
-    return lost.filter("mask != 0")
+    many = (single.join(lowest, "window").filter(F.col("lowest") < F.col("first"))
+            .groupBy("k").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")))
+    made = staged(calm.union(many), "factors")
+    discard(distinct)
+    return made
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bytes: int = FILTER_BYTES,
+                     group: int = GROUP) -> DataFrame:
+    """``doc_id, tie, lost``: for each row of ``docs`` with windows that start in a smaller document too, where they are.
+
+    ``tie`` is the low half of a hash of the text; ``lost`` lists (first window, mask): bit j of the mask says that the
+    window j bytes on is found earlier. Each step is staged, and what it shuffled is released before the next.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"),
+                       F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = spark.sparkContext.broadcast(anchor_filter(rows, length, gram, buckets, filter_bytes))
+    found = staged(_anchored(rows, held, length, gram, False), "anchors")
+    firsts = staged(found.groupBy("k", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                                F.first("n").alias("n")), "firsts")
+    release(spark)
+    masks = _factors(rows, firsts, buckets, length, gram, filter_bytes, group)
+    release(spark)
+    known = (firsts.join(masks, "k", "left").filter((F.col("first") < F.col("last")) | F.col("mask").isNotNull())
+             .select("k", "h", "first", F.expr("shiftleft(1L, cast(n as int)) - 1").alias("all"), F.coalesce("mask", F.lit(0)).alias("mask")))
+    # A later document of a fragment loses all of its windows, the first one those with a previous factor.
+    mask = F.when(F.col("doc_id") > F.col("first"), F.col("all")).otherwise(F.col("mask"))
+    lost = found.select("k", "h", "doc_id", "at").join(known, ["k", "h"]).select("doc_id", "at", mask.alias("mask"))
+    by_row = staged(lost.filter("mask != 0").groupBy("doc_id", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie")).agg(
+        F.collect_list(F.struct(F.shiftright("at", 32).alias("first_window"), "mask")).alias("lost")), "lost")
+    discard(found, firsts, masks)
+    release(spark)
+    return by_row
+
+
+def _tie():
+    """Tells rows of one ``doc_id`` apart: the low half of a hash of the text."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -361,11 +422,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
     The bytes left need not be valid UTF-8, since the cut is by bytes; that is why they are binary.
     """
-    lost = repeated_windows(docs, length, gram, filter_bytes, group)
-    by_doc = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("tie").alias("lost_tie")).agg(
-        F.collect_list(F.struct("first_window", "mask")).alias("lost"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
-    joined = rows.join(by_doc, (F.col("doc_id").cast("long") == F.col("lost_id")) & (F.col("tie") == F.col("lost_tie")), "left")
+    lost = repeated_windows(docs, length, gram, filter_bytes, group).select(
+        F.col("doc_id").alias("lost_id"), F.col("tie").alias("lost_tie"), "lost")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), _tie().alias("tie"))
+    joined = rows.join(lost, (F.col("doc_id").cast("long") == F.col("lost_id")) & (F.col("tie") == F.col("lost_tie")), "left")
 
     def cut(text: pa.Array, found: pa.Array) -> list:
         out = []
