@@ -7,8 +7,8 @@ first copy stays. The work is exact and distributed:
    leftmost of equals). Equal windows have equal owners at equal places, so all that can be said of a window can be said
    among the fragments around owners of one hash. A fragment is the stretch of the windows that an anchor owns.
 2. Filter. Hashes that occur once cannot repeat. Tasks send the distinct hashes of their anchors, four bytes each, by
-   bucket; a bucket marks those met twice in its slice of a bit filter of fixed size. The filter only saves work: a
-   false mark costs a comparison, and when the corpus outgrows the filter all fragments are compared.
+   bucket; a bucket marks those met twice in its slice of a bit filter, which grows with the text up to a fixed size.
+   The filter only saves work: a false mark costs a comparison, and when the corpus outgrows it more are compared.
 3. Fragments that pass are reduced, by a hash of 64 bits beside the anchor's own, to distinct ones with the smallest
    document id. A later document of the same fragment loses all its windows.
 4. Previous factors. Where an anchor has different fragments, their bytes are gathered and put into a suffix array; the
@@ -43,7 +43,9 @@ from rtshop.llm.common import add_columns, discard, release, slices, staged
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1_000_000
-FILTER_BYTES = 32 * 1024 * 1024
+# Largest size of a bit filter, and how many bytes of text ask for one byte of it.
+FILTER_BYTES = 64 * 1024 * 1024
+TEXT_PER_BYTE = 100
 GROUP = 2000
 # Odd multiplier of the rolling hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -340,6 +342,7 @@ def _factors(rows: DataFrame, firsts: DataFrame, buckets: int, length: int, gram
     held = spark.sparkContext.broadcast(mixed_filter(firsts, buckets, filter_bytes))
     distinct = staged(_anchored(rows, held, length, gram, True).groupBy("h", "fragment").agg(F.min("doc_id").alias("first")),
                       "distinct")
+    held.destroy()
     crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > group).select("h")
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,8 +379,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fi
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"),
                        F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    filter_bytes = min(filter_bytes, max(1 << 16, size // TEXT_PER_BYTE))
     held = spark.sparkContext.broadcast(anchor_filter(rows, length, gram, buckets, filter_bytes))
     found = staged(_anchored(rows, held, length, gram, False), "anchors")
+    held.destroy()
+    release(spark)
     firsts = staged(found.groupBy("k", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
                                                 F.first("n").alias("n")), "firsts")
     release(spark)
