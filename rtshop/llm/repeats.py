@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rtshop.functions.joins import broadcast_if_small
 from rtshop.llm.common import add_columns, discard, release, slices, staged
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 BLOCK_BYTES = 1_000_000
 # Largest size of a bit filter, and how many bytes of text ask for one byte of it.
 FILTER_BYTES = 64 * 1024 * 1024
@@ -343,7 +344,11 @@ def _factors(rows: DataFrame, firsts: DataFrame, buckets: int, length: int, gram
     distinct = staged(_anchored(rows, held, length, gram, True).groupBy("h", "fragment").agg(F.min("doc_id").alias("first")),
                       "distinct")
     held.destroy()
-    crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > group).select("h")
+    crowded = staged(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > group).select("h"),
+                     "crowded")
+    release(spark)
+    # Few as a rule, and then sent to the tasks, which spares a shuffle of all fragments.
+    side = broadcast_if_small(crowded)
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,17 +359,17 @@ def _factors(rows: DataFrame, firsts: DataFrame, buckets: int, length: int, gram
 
     keyed = distinct.select("h", "fragment", "first").mapInArrow(with_key, "h long, k long, fragment binary, first long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    calm = (keyed.join(crowded, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h")
+    calm = (keyed.join(side, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h")
             .mapInArrow(lambda batches: _factor_rows(batches, length), "k long, mask long"))
     # Windows of anchors with very many fragments, one by one: the smallest document of each content.
     place = F.explode(F.sequence(F.lit(0), F.length("fragment") - length))
-    single = (keyed.join(crowded, "h", "left_semi").select("k", "first", "fragment", place.alias("j"))
+    single = (keyed.join(side, "h", "left_semi").select("k", "first", "fragment", place.alias("j"))
               .select("k", "first", "j", F.expr(f"substring(fragment, j + 1, {length})").alias("window")))
     lowest = single.groupBy("window").agg(F.min("first").alias("lowest"))
     many = (single.join(lowest, "window").filter(F.col("lowest") < F.col("first"))
             .groupBy("k").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")))
     made = staged(calm.union(many), "factors")
-    discard(distinct)
+    discard(distinct, crowded)
     return made
 
 
