@@ -21,7 +21,8 @@ Defined results
 * Null text is empty: only the end id. Null ``doc_id`` comes first and reads back as null.
 * Rows with equal ``doc_id`` are in order of a hash of their text; equal rows are equal in any order.
 * An empty table writes no segment and reads back empty. Other columns are not written.
-* A long text is never split over segments; a segment closes at the first document end after ``SEGMENT_IDS``.
+* A long text is never split over segments; a segment holds the documents of about
+  ``SEGMENT_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +47,8 @@ END_ID = 1
 BLOCK = 128
 # Share of a block's numbers that must fit the packed width.
 PERCENTILE = 0.9
-SEGMENT_IDS = 1_000_000
-CACHED_WORDS = 1_200_000
-SLICE_CHARS = 1_000_000
+SEGMENT_BYTES = 4_000_000
+CACHED_WORDS = 400_000  # a generation; two are kept
 CACHED_LENGTH = 64
 MAGIC = b"PFB1"
 HEADER = struct.Struct("<4sQQQqIII")
@@ -89,8 +90,13 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     return struct.pack("<Q", n) + starts.astype("<u4").tobytes() + b"".join(bodies)
 
 
+SMALL_LENGTHS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def bit_length(values: np.ndarray) -> np.ndarray:
     """Bits that each number needs, 0 for 0."""
+    if values.size and values.max() < len(SMALL_LENGTHS):
+        return SMALL_LENGTHS[values]
     out = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     # Rounding to a float may reach the next power of two.
     out -= (out > 53) & ((values >> (np.maximum(out, 1) - np.uint8(1)).astype(np.uint64)) == 0)
@@ -133,30 +139,24 @@ def unpack(data: bytes | memoryview, first: int = 0, count: int | None = None, b
     n_blocks = -(-n // block)
     starts = np.frombuffer(data, "<u4", n_blocks + 1, 8)
     base = 8 + 4 * (n_blocks + 1)
-    wanted = range(first // block, -(-last // block))
-    headers = [(b, data[base + int(starts[b]):base + int(starts[b + 1])]) for b in wanted]
-    out = np.empty(len(headers) * block, np.uint64)
+    wanted = np.arange(first // block, -(-last // block))
+    raw = np.frombuffer(data, np.uint8)
+    at = starts[wanted].astype(np.int64) + base
+    heads = raw[at[:, None] + np.arange(10)]
+    low = np.ascontiguousarray(heads[:, :8]).view("<u8").ravel()
+    grid = np.empty((len(wanted), block), np.uint64)
     # Blocks of one width are unpacked together; exceptions are then patched in.
-    by_width: dict[int, list[int]] = {}
-    for k, (_, body) in enumerate(headers):
-        by_width.setdefault(body[8], []).append(k)
-    grid = out.reshape(-1, block)
-    for width, rows in by_width.items():
+    for width in np.unique(heads[:, 8]).tolist():
+        rows = np.flatnonzero(heads[:, 8] == width)
         size = block * width // 8
-        if width:
-            bodies = np.frombuffer(b"".join(headers[k][1][10:10 + size] for k in rows), np.uint8)
-            grid[rows] = unpack_bits(bodies.reshape(len(rows), size), width, block)
-        else:
-            grid[rows] = 0
-        for k in rows:
-            body = headers[k][1]
-            if n_over := body[9]:
-                places = np.frombuffer(body, np.uint8, n_over, 10 + size)
-                high = np.frombuffer(body[10 + size + n_over:10 + size + 9 * n_over], "<u8")
-                grid[k, places] |= high << np.uint64(width)
-            grid[k] += np.uint64(struct.unpack_from("<Q", body)[0])
-    skip = first - wanted[0] * block
-    return out[skip:skip + last - first]
+        grid[rows] = unpack_bits(raw[at[rows, None] + np.arange(10, 10 + size)], width, block) if width else 0
+        patched = rows[heads[rows, 9] > 0]
+        for k, head, n_over in zip(patched.tolist(), (at[patched] + 10 + size).tolist(), heads[patched, 9].tolist()):
+            high = raw[head + n_over:head + 9 * n_over].view("<u8")
+            grid[k, raw[head:head + n_over]] |= high << np.uint64(width)
+    grid += low[:, None]
+    skip = first - int(wanted[0]) * block
+    return grid.ravel()[skip:skip + last - first]
 
 
 def zigzag(values: np.ndarray) -> np.ndarray:
@@ -170,13 +170,13 @@ def unzigzag(values: np.ndarray) -> np.ndarray:
 
 # --- Segments -----------------------------------------------------------------------------------------------------
 
-def encode_segment(start: int, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_segment(start: int, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment. A null doc id has a 0 before it in the list of ids, others a 1, all as deltas."""
     known = np.array([0 if d is None else d for d in doc_ids], np.int64)
     with np.errstate(over="ignore"):
         deltas = np.diff(known, prepend=np.int64(0))
     nulls = np.array([d is None for d in doc_ids], np.uint64)
-    parts = [pack(np.concatenate([zigzag(deltas), nulls])), pack(np.array(lengths, np.uint64)), pack(ids)]
+    parts = [pack(np.concatenate([zigzag(deltas), nulls])), pack(lengths), pack(ids)]
     return HEADER.pack(MAGIC, len(doc_ids), len(ids), -(-len(ids) // BLOCK), start, *map(len, parts)) + b"".join(parts)
 
 
@@ -212,6 +212,7 @@ class WordEncoder:
         self._library = Tokenizer.from_file(path)
         self._mark = self._library.encode(self.MARK, add_special_tokens=False).ids
         self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
         return np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -239,22 +240,40 @@ class WordEncoder:
         for word, (stem, end) in forms.items():
             self._cache[word] = self._cache[stem] + self._cache[end]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text); a null text has none.
+
+        Arrow cuts the texts and finds the distinct stretches; Python sees only those.
+        """
+        texts = pc.fill_null(texts, "")
+        # ASCII capitals fold as in the vocabulary. Texts with what might be a special string are left as they are.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self._cache) > CACHED_WORDS:
-            self._cache.clear()
-        known = self._cache.get
-        found = [list(map(known, words)) for words in split]
-        holes = [k for k, ids in enumerate(found) if None in ids]
-        new = {w for k in holes for w, ids in zip(split[k], found[k]) if ids is None}
+            self._cache, self._older = {}, self._cache
+        known, older = self._cache.get, self._older.get
+        pieces = list(map(known, words))
+        # What the older generation knows moves to the younger one, so frequent words outlive the change.
+        missing = [w for w, ids in zip(words, pieces) if ids is None]
+        self._cache.update((w, ids) for w in missing if (ids := older(w)) is not None)
+        new = {w for w in missing if w not in self._cache}
         if new:
             self._learn(new)
-            for k in holes:
-                found[k] = [known(w) if ids is None else ids for w, ids in zip(split[k], found[k])]
+        if missing:
+            pieces = [known(w) if ids is None else ids for w, ids in zip(words, pieces)]
             for word in [w for w in new if len(w) > CACHED_LENGTH]:
                 del self._cache[word]
-        return list(map(b"".join, found))
+        table = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[which]
+        until = np.concatenate([[0], np.cumsum(counts)])
+        ids = table[np.repeat(starts[which] - until[:-1], counts) + np.arange(until[-1])]
+        offsets = lists.offsets.to_numpy()
+        return ids, np.diff(until[offsets - offsets[0]])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -267,41 +286,29 @@ def encoder(path: str) -> WordEncoder:
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, partitions: int | None = None,
-                 segment_ids: int = SEGMENT_IDS) -> None:
+                 segment_bytes: int = SEGMENT_BYTES) -> None:
     """Encode ``docs`` (``doc_id, text``) and write the segments to ``path``. One shuffle: the range order.
 
     ``partitions`` is by default the session's number of shuffle partitions.
     """
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(vocabulary), TaskContext.get().partitionId()
         start = segment = 0
-        doc_ids, chunks, total = [], [], 0
-
-        def close():
-            ids = np.frombuffer(b"".join(chunks), "<u4")
-            payload = encode_segment(start, doc_ids, [len(c) // 4 for c in chunks], ids)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in ((part, pa.int32()), (segment, pa.int32()), (start, pa.int64()),
-                                               (len(ids), pa.int64()), (len(doc_ids), pa.int64()),
-                                               (payload, pa.binary()))],
-                names=["part", "segment", "start", "n_ids", "n_docs", "payload"])
-
         for batch in batches:
-            keys, texts = (c.to_pylist() for c in batch.columns)
-            for low, high in slices([len(t or "") for t in texts], SLICE_CHARS):
-                for doc_id, chunk in zip(keys[low:high], own.encode_all(texts[low:high])):
-                    doc_ids.append(doc_id)
-                    chunks.append(chunk + end)
-                    total += len(chunk) // 4 + 1
-                    if total >= segment_ids:
-                        yield close()
-                        start, segment, doc_ids, chunks, total = start + total, segment + 1, [], [], 0
-        if doc_ids:
-            yield close()
+            keys, texts = batch.columns
+            for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), segment_bytes):
+                ids, lengths = own.encode_all(texts[low:high])
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                payload = encode_segment(start, keys[low:high].to_pylist(), lengths + 1, ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t) for v, t in ((part, pa.int32()), (segment, pa.int32()), (start, pa.int64()),
+                                                   (len(ids), pa.int64()), (high - low, pa.int64()),
+                                                   (payload, pa.binary()))],
+                    names=["part", "segment", "start", "n_ids", "n_docs", "payload"])
+                start, segment = start + len(ids), segment + 1
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The hash orders rows with equal ids and lets them spread over partitions.
