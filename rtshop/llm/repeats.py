@@ -47,7 +47,8 @@ BLOCK_BYTES = 1_000_000
 # Largest size of a bit filter, and how many bytes of text ask for one byte of it.
 FILTER_BYTES = 64 * 1024 * 1024
 TEXT_PER_BYTE = 100
-GROUP = 2000
+# Distinct fragments of one anchor that a task compares at once: some 30 MB of windows.
+GROUP = 20_000
 # Odd multiplier of the rolling hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2 ** 64)
@@ -451,3 +452,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
     fields = FIELDS + [T.StructField("kept", T.BinaryType())] * with_text
     return add_columns(joined, cut, fields, ["text", "lost"], ["doc_id"])
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same rows in DuckDB's SQL: every string of ``length`` bytes of every document, in hexadecimal digits."""
+    return f"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, {2 * length}) AS s
+  FROM docs, unnest(range(0, len(h) // 2 - {length - 1})) AS t(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT x.doc_id, unnest(range(x.i, x.i + {length})) AS p FROM strings x JOIN firsts f USING (s) WHERE f.first < x.doc_id)),
+counts AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS DISTINCT FROM p - 1) AS n_spans
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+kept AS (
+  SELECT b.doc_id, string_agg(substr(b.h, 2 * b.p + 1, 2), '' ORDER BY b.p) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM docs) b
+  ANTI JOIN gone g ON g.doc_id = b.doc_id AND g.p = b.p GROUP BY b.doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(c.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM docs d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
