@@ -190,3 +190,28 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     marked = find_contamination(docs.withColumn("llm_all", F.struct(*docs.columns)), benchmark, window,
                                 keep=["llm_all"])
     return marked.filter(~F.col("contaminated")).select("llm_all.*")
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same rows in DuckDB's SQL: every window of every document against those of the items."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = (rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    return rf"""
+WITH docs AS (SELECT doc_id, {words} AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item, least({window}, len(w)) AS n, list_slice(w, i, i + least({window}, len(w)) - 1) AS win
+  FROM items, unnest(range(1, greatest(len(w) - {window - 1}, 1) + 1)) AS t(i) WHERE len(w) > 0),
+found AS (
+  SELECT d.doc_id, i, s.n, x.item
+  FROM docs d, (SELECT DISTINCT n FROM wanted) s, unnest(range(1, len(d.w) - s.n + 2)) AS t(i)
+  JOIN wanted x ON x.n = s.n AND x.win = list_slice(d.w, i, i + s.n - 1)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(n.names, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)"""

@@ -76,4 +76,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
+    "op6_repeats": repeats.oracle(),
+    "op7_decontaminate": decontaminate.oracle(),
 }
