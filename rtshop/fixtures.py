@@ -117,25 +117,32 @@ def _envelope(name: str, operation: str, *rows: Column) -> Column:
         F.array(F.lit("id")).alias("pkNames"), F.array(*rows).alias("data")))
 
 
-def _change_records(df: DataFrame, name: str, operation: str, seq: int, *rows: Column) -> DataFrame:
-    return df.select(F.lit(None).cast("string").alias("key"), _envelope(name, operation, *rows).alias("value"),
-                     F.lit("ODS_BASE_DB_C").alias("topic"), F.lit(0).alias("partition"),
-                     F.lit(seq).cast("bigint").alias("offset"), F.lit(START).cast("timestamp").alias("timestamp"))
+def _change_records(df: DataFrame, *changes: tuple[Column | None, str, str, int, tuple[Column, ...]]) -> DataFrame:
+    """Change records of each row of ``df``: (condition or None for all, table, operation, sequence, changed rows).
+
+    One pass: the changes of a row are an array of it, so that a table with seven kinds of changes is read once.
+    """
+    messages = []
+    for condition, name, operation, seq, rows in changes:
+        message = F.struct(_envelope(name, operation, *rows).alias("value"), F.lit(seq).cast("bigint").alias("offset"))
+        messages.append(message if condition is None else F.when(condition, message))
+    sent = df.select(F.explode(F.array(*messages)).alias("m")).filter("m is not null")
+    return sent.select(F.lit(None).cast("string").alias("key"), "m.value", F.lit("ODS_BASE_DB_C").alias("topic"),
+                       F.lit(0).alias("partition"), "m.offset", F.lit(START).cast("timestamp").alias("timestamp"))
 
 
 def dim_change_records(customer: DataFrame) -> DataFrame:
     """Changes of ``user_info``: all inserted; two segments updated with an empty cell; one deleted with a null."""
-    key, name = F.col("c_custkey"), F.col("c_name")
+    key, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
     null = F.lit(None).cast("string")
-    updated = customer.filter(F.col("c_mktsegment").isin("HOUSEHOLD", "MACHINERY"))
-    deleted = customer.filter(F.col("c_mktsegment") == "MACHINERY")
-    insert = _texts(id=key, name=name, gender=F.lit("M"), segment=F.col("c_mktsegment"))
+    insert = _texts(id=key, name=name, gender=F.lit("M"), segment=segment)
     first = _texts(id=key, name=F.concat(name, F.lit("_t")), gender=F.lit(""))
     second = _texts(id=key, name=F.concat(name, F.lit("_u")), gender=F.lit(""))
     last = _texts(id=key, name=F.concat(name, F.lit("_d")), gender=null)
-    return (_change_records(customer, "user_info", "INSERT", 0, insert)
-            .unionByName(_change_records(updated, "user_info", "UPDATE", 1, first, second))
-            .unionByName(_change_records(deleted, "user_info", "DELETE", 2, last)))
+    return _change_records(
+        customer, (None, "user_info", "INSERT", 0, (insert,)),
+        (segment.isin("HOUSEHOLD", "MACHINERY"), "user_info", "UPDATE", 1, (first, second)),
+        (segment == "MACHINERY", "user_info", "DELETE", 2, (last,)))
 
 
 def fact_change_records(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -146,16 +153,14 @@ def fact_change_records(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     detail = _texts(id=F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
                     order_id=F.col("l_orderkey"), sku_id=F.col("l_partkey"),
                     split_total_amount=F.col("l_extendedprice").cast("decimal(18,2)"))
-    filled = orders.filter(F.col("o_orderstatus") == "F")
-    low = orders.filter(F.col("o_orderpriority") == "5-LOW")
-    returned = lineitem.filter(F.col("l_returnflag") == "R")
-    return (_change_records(orders, "order_info", "INSERT", 0, order)
-            .unionByName(_change_records(filled, "order_info", "UPDATE", 1, order, closed))
-            .unionByName(_change_records(low, "order_info", "DELETE", 2, order))
-            .unionByName(_change_records(lineitem, "order_detail", "INSERT", 0, detail))
-            .unionByName(_change_records(returned, "order_detail", "UPDATE", 1, detail))
-            .unionByName(_change_records(orders, "sku_info", "INSERT", 0, order))
-            .unionByName(_change_records(filled, "order_info", "CREATE", 0, order)))
+    filled, low = F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW"
+    return _change_records(
+        orders, (None, "order_info", "INSERT", 0, (order,)), (filled, "order_info", "UPDATE", 1, (order, closed)),
+        (low, "order_info", "DELETE", 2, (order,)), (None, "sku_info", "INSERT", 0, (order,)),
+        (filled, "order_info", "CREATE", 0, (order,)),
+    ).unionByName(_change_records(
+        lineitem, (None, "order_detail", "INSERT", 0, (detail,)),
+        (F.col("l_returnflag") == "R", "order_detail", "UPDATE", 1, (detail,))))
 
 
 def fact_records(rows: DataFrame, topic: str, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 
     The measurement reads at most ``max_rows + 1`` rows, so it stays cheap when the side turns out to be large.
     """
-    width = F.length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns])))
     size = (df.limit(max_rows + 1)
             .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
             .first())

@@ -1,4 +1,4 @@
-"""One row per key, by first or last arrival."""
+"""One row per key, by first or last arrival. The order must be total: rows that tie in it are taken to be equal."""
 
 from __future__ import annotations
 

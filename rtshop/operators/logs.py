@@ -40,6 +40,16 @@ def rejected_logs(records: DataFrame) -> DataFrame:
     return with_parsed(records, APP_LOG, "_log").filter(~_is_readable()).drop("_log")
 
 
+def rejected_devices(records: DataFrame) -> DataFrame:
+    """The records that the device table leaves out though they should be in it: unreadable ones, and views that open
+    a session without naming a device."""
+    page = F.col("_log.page")
+    opens = page.isNotNull() & (F.coalesce(page["last_page_id"], F.lit("")) == "")
+    nameless = opens & F.col("_log.common.mid").isNull()
+    parsed = with_parsed(records, APP_LOG, "_log")
+    return parsed.filter(~_is_readable() | F.coalesce(nameless, F.lit(False))).drop("_log")
+
+
 def first_page_views(logs: DataFrame) -> DataFrame:
     """page views that open a session: a page is present and names no page before it."""
     return logs.filter(F.col("page").isNotNull() & (F.coalesce(F.col("page.last_page_id"), F.lit("")) == ""))

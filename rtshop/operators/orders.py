@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,10 @@ from rtshop.functions.scalars import age_in_years, date_of_text, hour_of_text
 from rtshop.operators.keyed import first_by_key
 from rtshop.schemas import CORRUPT, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, WIDE_FROM_DIMS
 
+# Fixed value: how far apart an order and its detail may arrive.
 MATCH_SECONDS = 600
+# What a row is known and joined by; a message without it is unreadable.
+ORDER_KEYS, DETAIL_KEYS = ("id",), ("id", "order_id")
 
 
 # ---- typed rows ------------------------------------------------------------------------------------------------
@@ -26,26 +31,27 @@ def _numbers(shape: T.StructType) -> list[T.StructField]:
     return [field for field in shape if not isinstance(field.dataType, T.StringType)]
 
 
-def _is_readable(shape: T.StructType) -> Column:
+def _is_readable(shape: T.StructType, keys: Sequence[str]) -> Column:
     ok = F.col("_row").isNotNull() & F.col(f"_row.{CORRUPT}").isNull()
     for field in _numbers(shape):
         cell = F.col(f"_row.{field.name}")
-        ok = ok & (F.coalesce(cell, F.lit("")).eqNullSafe("") | cell.try_cast(field.dataType).isNotNull())
+        number = cell.try_cast(field.dataType).isNotNull()
+        ok = ok & (number if field.name in keys else F.coalesce(cell, F.lit("")).eqNullSafe("") | number)
     return ok
 
 
-def typed_rows(records: DataFrame, shape: T.StructType, strict: bool = False) -> DataFrame:
+def typed_rows(records: DataFrame, shape: T.StructType, strict: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Typed rows from JSON text. Absent or empty numbers become 0, numbers given as text are accepted.
 
-    Messages that are no object, or hold a text where a number belongs, are left out (see ``rejected_rows``); with
-    ``strict`` they raise. Record columns other than ``key, value, topic`` are kept.
+    Messages that are no object, lack one of the ``keys``, or hold a text where a number belongs, are left out (see
+    ``rejected_rows``); with ``strict`` they raise. Record columns other than ``key, value, topic`` are kept.
     """
     parsed = with_parsed(records, _text_shape(shape), "_row")
     if strict:
-        parsed = parsed.withColumn("_row", F.when(_is_readable(shape), F.col("_row")).otherwise(
+        parsed = parsed.withColumn("_row", F.when(_is_readable(shape, keys), F.col("_row")).otherwise(
             F.raise_error(F.concat(F.lit("unreadable row: "), F.coalesce("value", F.lit("null"))))))
     else:
-        parsed = parsed.filter(_is_readable(shape))
+        parsed = parsed.filter(_is_readable(shape, keys))
     columns = [F.col(name) for name in records.columns if name not in ("key", "value", "topic")]
     numbers = {field.name for field in _numbers(shape)}
     for field in shape:
@@ -56,19 +62,29 @@ def typed_rows(records: DataFrame, shape: T.StructType, strict: bool = False) ->
     return parsed.select(*columns)
 
 
-def rejected_rows(records: DataFrame, shape: T.StructType) -> DataFrame:
+def rejected_rows(records: DataFrame, shape: T.StructType, keys: Sequence[str] = ()) -> DataFrame:
     """The records that ``typed_rows`` leaves out, as they came."""
-    return with_parsed(records, _text_shape(shape), "_row").filter(~_is_readable(shape)).drop("_row")
+    return with_parsed(records, _text_shape(shape), "_row").filter(~_is_readable(shape, keys)).drop("_row")
 
 
 def order_rows(records: DataFrame, strict: bool = False) -> DataFrame:
-    """Typed orders with ``create_date`` and ``create_hour``."""
-    return with_order_day(typed_rows(records, ORDER_INFO, strict))
+    """Typed orders with ``create_date`` and ``create_hour``. An order has an id."""
+    return with_order_day(typed_rows(records, ORDER_INFO, strict, ORDER_KEYS))
 
 
 def detail_rows(records: DataFrame, strict: bool = False) -> DataFrame:
-    """Typed order details."""
-    return typed_rows(records, ORDER_DETAIL, strict)
+    """Typed order details. A detail has an id and names its order."""
+    return typed_rows(records, ORDER_DETAIL, strict, DETAIL_KEYS)
+
+
+def rejected_orders(records: DataFrame) -> DataFrame:
+    """The records that ``order_rows`` leaves out."""
+    return rejected_rows(records, ORDER_INFO, ORDER_KEYS)
+
+
+def rejected_details(records: DataFrame) -> DataFrame:
+    """The records that ``detail_rows`` leaves out."""
+    return rejected_rows(records, ORDER_DETAIL, DETAIL_KEYS)
 
 
 def with_order_day(orders: DataFrame) -> DataFrame:
@@ -79,15 +95,17 @@ def with_order_day(orders: DataFrame) -> DataFrame:
 
 # ---- copies ----------------------------------------------------------------------------------------------------
 
-def one_row_per_order(orders: DataFrame, arrival: str = "timestamp") -> DataFrame:
-    """Drop repeated copies of an order: the one that arrived first stays. Batch.
+def one_row_per_order(orders: DataFrame, arrival: Sequence[str] = ("timestamp", "partition", "offset")) -> DataFrame:
+    """Drop repeated copies of an order: the one that arrived first stays, by those of ``arrival`` it has. Batch.
 
     Makes every join with details many-to-one, whatever was replayed. The key also holds a column that follows from
     ``id``: with it the result is not laid out by ``id`` alone, so a join by order id gets an exchange of its own on
-    both sides, and AQE may split that exchange when one order holds much of the details.
+    both sides, and AQE may split that exchange when one order holds much of the details. The price is a second
+    shuffle of all orders.
     """
     laid_out = orders.withColumn("_layout", F.pmod("id", F.lit(2)))
-    return first_by_key(laid_out, ["id", "_layout"], [arrival]).drop("_layout")
+    present = [name for name in arrival if name in orders.columns]
+    return first_by_key(laid_out, ["id", "_layout"], present).drop("_layout")
 
 
 def distinct_details(details: DataFrame) -> DataFrame:
@@ -200,8 +218,15 @@ def wide_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select(*columns, F.col("o_create_date").alias("dt"))
 
 
-def order_wide(orders: DataFrame, details: DataFrame, users: DataFrame, provinces: DataFrame, as_of,
+def order_wide(orders: DataFrame, details: DataFrame, users: DataFrame | None, provinces: DataFrame | None, as_of=None,
                strict: bool = False) -> DataFrame:
-    """The whole pipeline over tables. Dimensions join the orders, the smaller side, first. Batch."""
-    enriched = with_province(with_user(one_row_per_order(orders), users, as_of, strict), provinces, strict)
+    """The whole pipeline over tables. Dimensions join the orders, the smaller side, first. Batch.
+
+    A dimension given as None is not joined, and its columns are not there: for questions that do not ask for it.
+    """
+    enriched = one_row_per_order(orders)
+    if users is not None:
+        enriched = with_user(enriched, users, as_of, strict)
+    if provinces is not None:
+        enriched = with_province(enriched, provinces, strict)
     return wide_rows(order_detail_pairs(enriched, details))

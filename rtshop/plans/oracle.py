@@ -96,7 +96,15 @@ genders AS (
   FROM hits WHERE user_gender IS NOT NULL GROUP BY dt, user_gender
   QUALIFY row_number() OVER (PARTITION BY dt ORDER BY count(*) DESC, user_gender) <= 2
 ),
-whole AS (SELECT dt, sum(amount) AS total FROM ages GROUP BY dt)
+all_ages AS (
+  SELECT dt, user_age, sum(CAST(split_total_amount AS DECIMAL(18,2))) AS amount
+  FROM hits WHERE user_age IS NOT NULL GROUP BY dt, user_age
+),
+all_genders AS (
+  SELECT dt, user_gender, sum(CAST(split_total_amount AS DECIMAL(18,2))) AS amount
+  FROM hits WHERE user_gender IS NOT NULL GROUP BY dt, user_gender
+),
+whole AS (SELECT dt, sum(amount) AS total FROM all_ages GROUP BY dt)
 """
 
 
@@ -176,6 +184,7 @@ ORACLE: dict[str, str] = {
         FROM routed GROUP BY topic""",
     "dim_merge_latest": _MERGED_ROWS,
     "dim_merge_deletes": f"{_MERGED_ROWS} WHERE last < 3",
+    "dim_merge_compacted": f"{_MERGED_ROWS} WHERE last < 3",
     "dim_merge_open": f"""
         WITH {_CUSTOMER_CHANGES}, {_MERGED}
         SELECT 'DIM_USER_INFO' AS dim_table, {_ROWKEY.format("id")} AS rowkey, name, cell
@@ -233,7 +242,7 @@ ORACLE: dict[str, str] = {
         bands AS (
           SELECT dt, CASE WHEN user_age < 20 THEN 0 WHEN user_age < 30 THEN 1 ELSE 2 END AS band,
                  sum(amount) AS amount
-          FROM ages GROUP BY 1, 2
+          FROM all_ages GROUP BY 1, 2
         ),
         labels_ AS (SELECT 0 AS band, '{S.AGE_BANDS[0]}' AS name UNION ALL SELECT 1, '{S.AGE_BANDS[1]}'
                     UNION ALL SELECT 2, '{S.AGE_BANDS[2]}')
@@ -244,9 +253,9 @@ ORACLE: dict[str, str] = {
         sides AS (
           SELECT dt, CASE WHEN user_gender = 'M' THEN '{S.GENDER_MALE}' ELSE '{S.GENDER_FEMALE}' END AS name,
                  sum(amount) AS amount
-          FROM genders GROUP BY 1, 2
+          FROM all_genders GROUP BY 1, 2
         ),
-        days AS (SELECT dt FROM whole UNION SELECT dt FROM genders),
+        days AS (SELECT dt FROM whole UNION SELECT dt FROM all_genders),
         labels_ AS (SELECT '{S.GENDER_MALE}' AS name UNION ALL SELECT '{S.GENDER_FEMALE}')
         SELECT y.dt, '{S.GENDER_TITLE}' AS title, l.name, {_percent("s.amount")} AS value
         FROM days y CROSS JOIN labels_ l LEFT JOIN whole w ON w.dt = y.dt
@@ -272,10 +281,10 @@ ORACLE: dict[str, str] = {
         parts AS (
           SELECT CASE WHEN user_age < 20 THEN '{S.AGE_BANDS[0]}' WHEN user_age < 30 THEN '{S.AGE_BANDS[1]}'
                  ELSE '{S.AGE_BANDS[2]}' END AS name, sum(amount) AS amount
-          FROM ages WHERE dt = '2024-01-10' GROUP BY 1
+          FROM all_ages WHERE dt = '2024-01-10' GROUP BY 1
           UNION ALL
           SELECT CASE WHEN user_gender = 'M' THEN '{S.GENDER_MALE}' ELSE '{S.GENDER_FEMALE}' END, sum(amount)
-          FROM genders WHERE dt = '2024-01-10' GROUP BY 1
+          FROM all_genders WHERE dt = '2024-01-10' GROUP BY 1
         ),
         labels_ (title, name) AS (VALUES
           ('{S.AGE_TITLE}', '{S.AGE_BANDS[0]}'), ('{S.AGE_TITLE}', '{S.AGE_BANDS[1]}'),
@@ -283,7 +292,16 @@ ORACLE: dict[str, str] = {
           ('{S.GENDER_TITLE}', '{S.GENDER_FEMALE}'))
         SELECT l.title, l.name, {_percent("p.amount")} AS value
         FROM labels_ l LEFT JOIN parts p ON p.name = l.name LEFT JOIN whole w ON w.dt = '2024-01-10'""",
-    "stream_dau": f"WITH {_DAU} SELECT dt, mid FROM dau",
+    "stream_dau": f"""
+        WITH {_DAU}
+        SELECT * FROM dau
+        UNION ALL SELECT 'ahead', 'u', '1', 'web', 'v1', '2099-01-01', '00', 4070908800000""",
+    "stream_rejects": f"""
+        WITH {_DAU}
+        SELECT 'devices' AS what, count(DISTINCT (dt, mid)) AS cnt FROM first_page WHERE event_id % 10 <> 0
+        UNION ALL
+        SELECT 'rejects', (SELECT count(*) FROM log WHERE event_id % 20 = 0)
+                          + (SELECT count(*) FROM first_page WHERE event_id % 20 = 10)""",
     "stream_cdc_route": f"WITH {_ROUTED} SELECT topic, key, value FROM routed",
     "stream_dim_merge": _MERGED_ROWS,
     "stream_order_wide": f"""

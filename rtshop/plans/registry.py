@@ -5,21 +5,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rtshop import fixtures as X
 from rtshop.functions import scalars
-from rtshop.operators import changes, dau, dims, keyed, logs, orders, sales, search
+from rtshop.operators import changes, dau, dims, logs, orders, sales, search
 from rtshop.plans.reports import ShopReports
-from rtshop.schemas import DAU_COLUMNS, ORDER_DETAIL, ORDER_INFO
+from rtshop.schemas import DAU_COLUMNS, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from rtshop.session import prepare, shared_dir
 from rtshop.sinks.batches import save_daily, with_partition
 from rtshop.sources.bootstrap import bootstrap_messages
-from rtshop.sources.daily import changelog, daily_table
-from rtshop.sources.records import record_table
+from rtshop.sources.daily import changelog, daily_table, rejected_table
+from rtshop.sources.records import file_stream, record_table
 from rtshop.streaming.dau import run_dau
-from rtshop.streaming.order_wide import run_order_wide
+from rtshop.streaming.order_wide import changelog_reader, run_order_wide
 from rtshop.streaming.router import run_router
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,13 +68,14 @@ def _provinces(spark: SparkSession, sf: str) -> DataFrame:
     return X.base_province(X.table(spark, sf, "nation"))
 
 
-def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    return orders.order_wide(_orders(spark, sf), _details(spark, sf), _users(spark, sf), _provinces(spark, sf),
-                             X.AS_OF)
+def _wide(spark: SparkSession, sf: str, users: bool = True, provinces: bool = True) -> DataFrame:
+    """Order-wide rows with the dimensions that a question asks for."""
+    return orders.order_wide(_orders(spark, sf), _details(spark, sf), _users(spark, sf) if users else None,
+                             _provinces(spark, sf) if provinces else None, X.AS_OF)
 
 
 def _cube(spark: SparkSession, sf: str) -> DataFrame:
-    return sales.sale_cube(sales.sale_hits(_wide(spark, sf), KEYWORD))
+    return sales.sale_cube(sales.sale_hits(_wide(spark, sf, provinces=False), KEYWORD))
 
 
 def _dim_changelog(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,6 +164,13 @@ def dim_merge_deletes(spark: SparkSession, sf: str) -> DataFrame:
     return dims.dim_rows(_dim_changelog(spark, sf), "DIM_USER_INFO", USER_COLUMNS, honor_deletes=True)
 
 
+@register
+def dim_merge_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the same state from a compacted changelog, deletes honored: a deleted key stays deleted."""
+    base = dims.compacted(_dim_changelog(spark, sf), honor_deletes=True)
+    return dims.dim_rows(base, "DIM_USER_INFO", USER_COLUMNS, honor_deletes=True)
+
+
 @register
 def dim_merge_open(spark: SparkSession, sf: str) -> DataFrame:
     """K3 without declared columns; one row per key and column."""
@@ -256,16 +264,18 @@ def order_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def upsert_latest_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    """K4: three saves of orders; the last save of each id and day remains."""
+    """K4: three saves of orders, one of them repeated; the last save of each id and day remains.
+
+    The second save first holds all orders, as of a batch that is repeated after a failure with fewer of them.
+    """
+    folder = _work_folder(spark, "upsert")
     source = X.table(spark, sf, "orders")
-    first = X.order_info(source).withColumn("_batch_id", F.lit(0))
-    second = X.order_info(source.filter(F.col("o_orderstatus") == "F")).withColumns(
-        {"order_status": F.lit("CLOSED"), "_batch_id": F.lit(1)})
-    third = X.order_info(source.filter(F.col("o_orderpriority") == "5-LOW")).withColumns(
-        {"order_status": F.lit("DROPPED"), "_batch_id": F.lit(2)})
-    saved = first.unionByName(second).unionByName(third).withColumnRenamed("create_date", "dt")
-    latest = keyed.latest_by_key(saved, ["dt", "id"], ["_batch_id"])
-    return latest.select("dt", "id", "order_status", "total_amount", F.col("_batch_id").cast("bigint").alias("save"))
+    closed, low = source.filter(F.col("o_orderstatus") == "F"), source.filter(F.col("o_orderpriority") == "5-LOW")
+    for save, rows, status in ((0, source, F.col("order_status")), (1, source, F.lit("FAILED")),
+                               (1, closed, F.lit("CLOSED")), (2, low, F.lit("DROPPED"))):
+        saved = X.order_info(rows).withColumns({"order_status": status, "save": F.lit(save).cast("bigint")})
+        save_daily(saved.withColumnRenamed("create_date", "dt"), folder, save)
+    return daily_table(spark, folder, ["id"]).select("dt", "id", "order_status", "total_amount", "save")
 
 
 # ---- sales -----------------------------------------------------------------------------------------------------
@@ -273,14 +283,17 @@ def upsert_latest_by_id(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def sale_search_total(spark: SparkSession, sf: str) -> DataFrame:
     """F4, A9."""
-    return sales.hit_total(_cube(spark, sf))
+    return sales.hit_counts(sales.sale_hits(_wide(spark, sf, users=False, provinces=False), KEYWORD))
 
 
 @register
 def sale_search_page(spark: SparkSession, sf: str) -> DataFrame:
     """F4, T1, T4."""
-    hits = sales.sale_hits(_wide(spark, sf), KEYWORD)
-    return sales.sale_page(hits, page=sales.page_of_offset(20, 20), size=20)
+    hits = sales.sale_hits(_wide(spark, sf, users=False, provinces=False), KEYWORD)
+    # Dimensions are for the rows of the page, not for all hits.
+    page = sales.sale_page(hits, page=sales.page_of_offset(20, 20), size=20)
+    with_users = orders.with_user(page, _users(spark, sf), X.AS_OF)
+    return orders.with_province(with_users, _provinces(spark, sf)).select(*ORDER_WIDE, "dt")
 
 
 @register
@@ -310,7 +323,7 @@ def sale_gender_share(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def province_sales(spark: SparkSession, sf: str) -> DataFrame:
     """Z1."""
-    return sales.province_sales(_wide(spark, sf))
+    return sales.province_sales(_wide(spark, sf, users=False))
 
 
 @register
@@ -344,19 +357,17 @@ def report_sale_stat(spark: SparkSession, sf: str) -> DataFrame:
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 FILES_PER_BATCH = 1000
+# Spans of sending time that a table is cut into; a job is started anew for each.
+SPANS = 3
+# Every fifth key comes by a source partition that is so far behind the others.
+BEHIND_SECONDS = 1800
 
 
-def _stream(spark: SparkSession, sf: str, name: str, in_order: bool = False) -> DataFrame:
-    """A sample table as a file stream. The pattern matches a single file as well as a folder of files.
-
-    Jobs with a watermark need rows in time order, which the files of a table are not: with ``in_order`` all files are
-    one micro-batch. Other jobs take a bounded number of files at a time.
-    """
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A sample table as a file stream. The pattern matches a single file as well as a folder of files."""
     shape = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    reader = spark.readStream.schema(shape)
-    if not in_order:
-        reader = reader.option("maxFilesPerTrigger", FILES_PER_BATCH)
-    rows = reader.parquet(f"{sf}/{name}.parquet*")
+    rows = (spark.readStream.schema(shape).option("maxFilesPerTrigger", FILES_PER_BATCH)
+            .parquet(f"{sf}/{name}.parquet*"))
     return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c)
                          for c, kind in rows.dtypes])
 
@@ -365,14 +376,76 @@ def _state_partitions(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+def _sent(records: DataFrame) -> Column:
+    """When a record is delivered, in seconds: on arrival, or later by the partition that is behind."""
+    late = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
+    return F.unix_seconds("timestamp") + F.when(late, BEHIND_SECONDS).otherwise(0)
+
+
+def _cuts(*sources: DataFrame) -> list[int]:
+    """Inner limits of ``SPANS`` equal spans of the sources' sending time."""
+    ends = [source.agg(F.min(_sent(source)).alias("a"), F.max(_sent(source)).alias("b")).first() for source in sources]
+    known = [(low, high) for low, high in ends if low is not None] or [(0, 0)]
+    low, high = min(e[0] for e in known), max(e[1] for e in known)
+    return [low + (high - low) * i // SPANS for i in range(1, SPANS)]
+
+
+def _deliver(records: DataFrame, cuts: Sequence[int], span: int, folder: str) -> None:
+    """Append the records of one span to the folder of a file stream."""
+    low, high = [None, *cuts][span], [*cuts, None][span]
+    sent = _sent(records)
+    inside = (F.lit(True) if low is None else sent >= low) & (F.lit(True) if high is None else sent < high)
+    records.filter(inside).write.mode("append").parquet(folder)
+
+
+# A client whose clock is years ahead: a device of a day of its own, which must not age out any other.
+WRONG_CLOCK = ('{"common":{"mid":"ahead","uid":"u","ar":"1","ch":"web","vc":"v1"},"page":{"page_id":"home"},'
+               '"ts":4070908800000}')
+
+
+def _log_source(spark: SparkSession, sf: str) -> DataFrame:
+    records = X.log_records(X.table(spark, sf, "events"))
+    first = records.agg(F.min("timestamp").alias("timestamp")).filter("timestamp is not null")
+    ahead = first.select(F.lit("ahead").alias("key"), F.lit(WRONG_CLOCK).alias("value"), F.lit("ODS_BASE_LOG").alias("topic"),
+                         F.lit(0).alias("partition"), F.lit(-1).cast("bigint").alias("offset"), "timestamp")
+    return records.unionByName(ahead)
+
+
 @register
 def stream_dau(spark: SparkSession, sf: str) -> DataFrame:
-    """The device stream into its day table, which is then read back."""
+    """The device stream into its day table, which is then read back.
+
+    Messages come in spans of time, a fifth of the devices half an hour behind; one client's clock is years ahead. The
+    first span is sent once more with the second, and the job is started anew for each span.
+    """
     folder = _work_folder(spark, "stream_dau")
-    job = run_dau(X.log_records(_stream(spark, sf, "events", in_order=True)), f"{folder}/dau", f"{folder}/checkpoint",
-                  interval=None, partitions=_state_partitions(spark))
-    job.awaitTermination()
-    return daily_table(spark, f"{folder}/dau", ["mid"]).select("dt", "mid")
+    records = _log_source(spark, sf)
+    cuts = _cuts(records)
+    for span in range(SPANS):
+        for part in (span, 0) if span == 1 else (span,):
+            _deliver(records, cuts, part, f"{folder}/in")
+        run_dau(file_stream(spark, f"{folder}/in", FILES_PER_BATCH), f"{folder}/dau", f"{folder}/checkpoint",
+                interval=None, partitions=_state_partitions(spark)).awaitTermination()
+    return daily_table(spark, f"{folder}/dau", ["mid"], first=True).select(*DAU_COLUMNS)
+
+
+@register
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Log messages, every tenth broken; the devices and the rejects that the job keeps, counted.
+
+    Good and rejected records together are all that came.
+    """
+    folder = _work_folder(spark, "stream_rejects")
+    records = X.log_records(X.table(spark, sf, "events"))
+    broken = F.when(F.col("offset") % 20 == 0, F.concat(F.lit("{"), "value")).when(
+        F.col("offset") % 20 == 10, F.regexp_replace("value", '"mid":"[^"]*",', ""))
+    records.withColumn("value", F.coalesce(broken, "value")).write.parquet(f"{folder}/in")
+    run_dau(file_stream(spark, f"{folder}/in", FILES_PER_BATCH), f"{folder}/dau", f"{folder}/checkpoint", interval=None,
+            partitions=_state_partitions(spark), rejects=f"{folder}/rejects").awaitTermination()
+    devices = daily_table(spark, f"{folder}/dau", ["mid"], first=True).agg(F.count(F.lit(1)).alias("cnt"))
+    rejects = rejected_table(spark, f"{folder}/rejects").agg(F.count(F.lit(1)).alias("cnt"))
+    return devices.select(F.lit("devices").alias("what"), "cnt").unionByName(
+        rejects.select(F.lit("rejects").alias("what"), "cnt"))
 
 
 @register
@@ -387,23 +460,44 @@ def stream_cdc_route(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def stream_dim_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The change stream of a dimension into its changelog, merged as read back."""
+    """The change stream of a dimension into its changelog, merged as read back.
+
+    One start of the job for the inserts, one for the updates, one for the deletes, which are then sent once more.
+    """
     folder = _work_folder(spark, "stream_dim_merge")
-    records = X.dim_change_records(_stream(spark, sf, "customer"))
-    job = run_router(records, f"{folder}/topics", f"{folder}/dims", f"{folder}/checkpoint", interval=None)
-    job.awaitTermination()
+    records = X.dim_change_records(X.table(spark, sf, "customer"))
+    for offset in (0, 1, 2, 2):
+        records.filter(F.col("offset") == offset).write.mode("append").parquet(f"{folder}/in")
+        run_router(file_stream(spark, f"{folder}/in", FILES_PER_BATCH), f"{folder}/topics", f"{folder}/dims",
+                   f"{folder}/checkpoint", interval=None).awaitTermination()
     return dims.dim_rows(changelog(spark, f"{folder}/dims"), "DIM_USER_INFO", USER_COLUMNS)
 
 
 @register
 def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Both fact streams into the order-wide day table, which is then read back."""
+    """Both fact streams into the order-wide day table, which is then read back.
+
+    The dimensions come through the change router and are read for each batch. Orders and details come in spans of
+    time, a fifth of the keys half an hour behind, the first once more with the second; the job is started anew for each.
+    """
     folder = _work_folder(spark, "stream_order_wide")
-    order_records = X.fact_records(X.order_info(_stream(spark, sf, "orders", in_order=True)), "DWD_ORDER_INFO_I", "id")
-    details = X.order_detail(_stream(spark, sf, "lineitem", in_order=True), X.table(spark, sf, "part"))
-    detail_records = X.fact_records(details, "DWD_ORDER_DETAIL_I", "order_id")
-    job = run_order_wide(order_records, detail_records, lambda s, keys: _users(s, sf),
-                         lambda s, keys: _provinces(s, sf), f"{folder}/wide", f"{folder}/checkpoint", as_of=X.AS_OF,
-                         interval=None, partitions=_state_partitions(spark))
-    job.awaitTermination()
+    snapshot = bootstrap_messages({"user_info": _users(spark, sf), "base_province": _provinces(spark, sf)}, X.DATABASE)
+    snapshot.select("key", "value", "topic", F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"),
+                    F.lit(X.START).cast("timestamp").alias("timestamp")).write.parquet(f"{folder}/changes")
+    run_router(file_stream(spark, f"{folder}/changes", FILES_PER_BATCH), f"{folder}/topics", f"{folder}/dims",
+               f"{folder}/router", interval=None).awaitTermination()
+    users = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", ("id", "birthday", "gender"))
+    provinces = changelog_reader(f"{folder}/dims", "DIM_BASE_PROVINCE",
+                                 ("id", "name", "area_code", "iso_code", "iso_3166_2"))
+    order_records = X.fact_records(_orders(spark, sf), "DWD_ORDER_INFO_I", "id")
+    detail_records = X.fact_records(_details(spark, sf), "DWD_ORDER_DETAIL_I", "order_id")
+    cuts = _cuts(order_records, detail_records)
+    for span in range(SPANS):
+        for part in (span, 0) if span == 1 else (span,):
+            _deliver(order_records, cuts, part, f"{folder}/orders")
+            _deliver(detail_records, cuts, part, f"{folder}/details")
+        run_order_wide(file_stream(spark, f"{folder}/orders", FILES_PER_BATCH),
+                       file_stream(spark, f"{folder}/details", FILES_PER_BATCH), users, provinces, f"{folder}/wide",
+                       f"{folder}/checkpoint", as_of=X.AS_OF, interval=None,
+                       partitions=_state_partitions(spark)).awaitTermination()
     return daily_table(spark, f"{folder}/wide", ["detail_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,12 +45,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for written intermediate tables and checkpoints.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is made only where that is
-    unset, as in local tests.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made for
+    a local master, as in tests; on a cluster this raises, since each machine would write to its own disk. What is
+    written there belongs to the caller, who empties it when no reader is left.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     made = tempfile.mkdtemp(prefix="rtshop-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -9,14 +9,28 @@ from pyspark.sql import functions as F
 
 
 def _replace_batch(df: DataFrame, path: str, batch_id: int, folders: Sequence[str]) -> None:
-    """Write ``df`` as the only content of this batch below each value of ``folders``; other batches stay."""
+    """Write ``df`` as the only content of this batch; other batches stay.
+
+    A repeated batch first loses what it wrote before, in all folders: it may have no rows for some of them now.
+    """
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{name}=*" for name in folders],
+                                                         f"_batch_id={int(batch_id)}"]))
+    files = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in files.globStatus(old) or ():
+        files.delete(status.getPath(), True)
     (df.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "_batch_id").parquet(path))
 
 
 def save_daily(df: DataFrame, path: str, batch_id: int) -> None:
-    """K4-K6: save rows under their ``dt``. Reading with ``daily_table`` shows the last save of each key."""
-    _replace_batch(df, path, batch_id, ["dt"])
+    """K4-K6: save rows under their ``dt``. Reading with ``daily_table`` shows the last save of each key.
+
+    ``_order`` settles which of two rows of a key in one batch is the last: the one that arrived later where the rows
+    have an ``offset``, else that of the larger hash, so that repeated reads and repeated batches agree.
+    """
+    order = F.col("offset") if "offset" in df.columns else F.xxhash64(*df.columns)
+    _replace_batch(df.withColumn("_order", order), path, batch_id, ["dt"])
 
 
 def save_changes(df: DataFrame, path: str, batch_id: int) -> None:
@@ -24,6 +38,11 @@ def save_changes(df: DataFrame, path: str, batch_id: int) -> None:
     _replace_batch(df, path, batch_id, ["dim_table"])
 
 
+def save_rejects(records: DataFrame, path: str, batch_id: int) -> None:
+    """Save records that a job leaves out, as they came."""
+    _replace_batch(records, path, batch_id, [])
+
+
 def with_partition(messages: DataFrame, partitions: int) -> DataFrame:
     """K1, K2: topic partition of each message: the same for equal keys, spread for messages without a key."""
     keyed = F.pmod(F.xxhash64("key"), F.lit(partitions))

@@ -13,7 +13,7 @@ from rtshop.operators import dims, keyed, logs, orders, sales
 from rtshop.plans import registry
 from rtshop.plans.oracle import ORACLE
 from rtshop.sinks.batches import save_daily
-from rtshop.sources.daily import daily_table
+from rtshop.sources.daily import daily_table, searched_table
 
 SF = "/root/testdata/sf0.001"
 BATCH = [name for name in registry.QUERIES if not name.startswith(("stream_", "report_"))]
@@ -62,6 +62,25 @@ def test_hours_of_devices_need_only_the_hour(spark):
     assert aggregates and all("hr" in line and "vc" not in line for line in aggregates)
 
 
+def test_tables_are_read_once_and_dimensions_only_where_asked(spark):
+    count = lambda name, column: plan_of(registry.QUERIES[name](spark, SF)).split("== Initial Plan ==")[0].count(
+        f"FileScan parquet [{column}")
+    assert (count("cdc_route_facts", "o_orderkey"), count("cdc_route_facts", "l_orderkey")) == (1, 1)
+    assert count("dim_merge_latest", "c_custkey") == 1
+    for name in ("sale_search_total", "province_sales"):
+        assert "c_custkey" not in plan_of(registry.QUERIES[name](spark, SF))
+    assert "n_nationkey" not in plan_of(registry.sale_age_share(spark, SF))
+
+
+def test_search_of_a_day_goes_to_the_scan(spark, folder):
+    rows = spark.range(10).selectExpr("id as detail_id", "'red' as sku_name", "'2024-01-10' as dt")
+    save_daily(rows, folder, 0)
+    found = searched_table(spark, folder, ["detail_id"], lambda day: sales.sale_hits(day, "red"), "2024-01-10")
+    plan = plan_of(found)
+    below = plan[plan.index("Window"):].splitlines()
+    assert any("Filter" in line and "sku_name" in line for line in below)
+
+
 def test_routing_does_not_shuffle(spark):
     assert "Exchange" not in plan_of(registry.cdc_route_facts(spark, SF))
 

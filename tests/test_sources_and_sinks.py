@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pytest
 from conftest import plan_of, rows_of
 
 from rtshop.plans.reports import ShopReports
@@ -10,7 +11,7 @@ from rtshop.session import shared_dir
 from rtshop.sinks.batches import save_daily, topic_folder, with_partition, write_topic_files
 from rtshop.sources import jdbc, records as R
 from rtshop.sources.bootstrap import bootstrap_messages, database_snapshot
-from rtshop.sources.daily import compact_days, daily_table, saved_rows
+from rtshop.sources.daily import compact_days, daily_table, saved_rows, searched_table
 
 SHAPE = "dt string, mid string, hr string"
 D1, D2 = "2024-01-10", "2024-01-11"
@@ -32,7 +33,40 @@ def test_repeated_batch_replaces_itself(spark, folder):
         save_daily(frame(spark, (D1, "a", "01"), (D2, "b", "02")), folder, 7)
     assert saved_rows(spark, folder).count() == 2
     save_daily(frame(spark, (D1, "a", "05")), folder, 7)
-    assert rows_of(daily_table(spark, folder, ["mid"], D1), "mid", "hr") == [("a", "05")]
+    # The repeat has no row for the second day any more, so none is left there.
+    assert rows_of(daily_table(spark, folder, ["mid"]), "mid", "hr") == [("a", "05")]
+
+
+def test_first_and_last_save(spark, folder):
+    for save, hour in enumerate(("01", "02", "03")):
+        save_daily(frame(spark, (D1, "a", hour)), folder, save)
+    assert rows_of(daily_table(spark, folder, ["mid"]), "hr") == [("03",)]
+    assert rows_of(daily_table(spark, folder, ["mid"], first=True), "hr") == [("01",)]
+
+
+def test_two_rows_of_a_key_in_one_batch(spark, folder):
+    rows = spark.createDataFrame([(D1, "a", "late", 9), (D1, "a", "early", 3)], "dt string, mid string, hr string, offset long")
+    for partitions in (1, 2):
+        save_daily(rows.repartition(partitions), f"{folder}/{partitions}", 0)
+        assert rows_of(daily_table(spark, f"{folder}/{partitions}", ["mid"]), "hr") == [("late",)]
+
+
+def test_search_sees_the_last_save_only(spark, folder):
+    save_daily(frame(spark, (D1, "a", "red"), (D1, "b", "red"), (D1, "c", "blue")), folder, 0)
+    save_daily(frame(spark, (D1, "a", "blue"), (D1, "c", "red")), folder, 1)
+    found = searched_table(spark, folder, ["mid"], lambda rows: rows.filter("hr = 'red'"), D1)
+    assert rows_of(found, "mid", "hr") == [("b", "red"), ("c", "red")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared_dir(Session)
 
 
 def test_only_the_asked_day_is_listed(spark, folder):

@@ -1,15 +1,19 @@
 from __future__ import annotations
 
-from conftest import at, change, detail_message, log_message, order_message, rows_of
+import datetime as dt
+
+import pytest
+from conftest import START, at, change, detail_message, log_message, order_message, rows_of
+from pyspark.errors import StreamingQueryException
 
 from rtshop.operators import dims, logs, orders
 from rtshop.sinks.batches import save_changes, topic_folder
-from rtshop.sources.daily import changelog, daily_table, saved_rows
+from rtshop.sources.daily import changelog, daily_table, rejected_table, saved_rows
 from rtshop.sources.records import file_stream, record_table
 from rtshop.streaming.dau import dau_stream, run_dau
 from rtshop.streaming.order_wide import changelog_reader, run_order_wide
 from rtshop.streaming.router import run_router
-from rtshop.streaming.runtime import offset_ranges, start_job, state_rows
+from rtshop.streaming.runtime import dropped_rows, offset_ranges, start_job, state_rows
 
 AS_OF = "2024-01-10"
 USER, PROVINCE = ("id", "birthday", "gender"), ("id", "name", "area_code", "iso_code", "iso_3166_2")
@@ -50,11 +54,15 @@ def test_dau_stream_equals_batch_and_survives_restart(spark, records, write_file
     assert saved_rows(spark, f"{folder}/dau").count() == table.count() == 5
 
 
-def test_dau_stream_without_salt(spark, records, write_file, folder):
-    write_file(logs_of(records, ("a", 0, "first"), ("a", 1, "first"), ("b", 2, "first")), f"{folder}/in")
-    run_dau(file_stream(spark, f"{folder}/in"), f"{folder}/dau", f"{folder}/checkpoint", interval=None,
-            salt=1).awaitTermination()
-    assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("b",)]
+def test_the_first_arrival_of_a_device_stays(spark, records, write_file, folder):
+    """Within a batch and over batches, whatever the files' order of rows and the clients' clocks say."""
+    def view(mid, moment, uid):
+        return log_message(mid, at(moment), uid=uid)
+    write_file(records([(view("a", 7200, "second"), 5), (view("a", 9999, "first"), 1), (view("b", 0, "only"), 3)]), f"{folder}/in")
+    write_file(records([(view("a", 0, "early clock"), 60), (view("b", 1, "again"), 61)], first_offset=10), f"{folder}/in")
+    dau_job(spark, folder)
+    table = daily_table(spark, f"{folder}/dau", ["mid"], first=True)
+    assert rows_of(table, "mid", "uid", "hr") == [("a", "first", "14"), ("b", "only", "12")]
 
 
 def test_a_job_takes_its_settings_and_leaves_the_session_alone(spark, records, write_file, folder):
@@ -76,13 +84,67 @@ def test_views_of_a_batch_are_observed(spark, records, write_file, folder):
     assert max(counts) == 2
 
 
-def test_devices_later_than_the_watermark_are_dropped(spark, records, write_file, folder):
+def test_a_wrong_clock_loses_no_device(spark, records, write_file, folder):
+    """A record of the year 2099, an hour-old partition and views of days ago: every device has its row."""
     day = 86400
-    write_file(logs_of(records, ("a", 3 * day, "first")), f"{folder}/in")
-    write_file(logs_of(records, ("b", 3 * day + 1, "first")), f"{folder}/in")
-    write_file(logs_of(records, ("late", 0, "first"), ("near", 2 * day + 7200, "first")), f"{folder}/in")
-    dau_job(spark, folder)
-    assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("b",), ("near",)]
+    far = int((dt.datetime(2099, 1, 1, tzinfo=dt.timezone.utc) - START).total_seconds())
+    write_file(records([(log_message("a", at(0)), 0)]), f"{folder}/in")
+    write_file(records([(log_message("ahead", at(far)), 1)]), f"{folder}/in")
+    write_file(records([(log_message("b", at(-3 * day)), 7200), (log_message("c", at(2)), 7201)]), f"{folder}/in")
+    write_file(records([(log_message("d", at(3)), 3600)]), f"{folder}/in")
+    job = dau_job(spark, folder)
+    assert rows_of(saved_rows(spark, f"{folder}/dau"), "mid") == [("a",), ("ahead",), ("b",), ("c",), ("d",)]
+    assert dropped_rows(job) == 0
+
+
+def test_rows_that_the_state_refuses_are_told(spark, records, write_file, folder, caplog):
+    hour = 3600
+    for seconds in (0, 1, 100 * hour, 100 * hour + 1, 0, 100 * hour + 2):
+        write_file(records([(log_message(f"m{seconds}", at(seconds)), seconds)]), f"{folder}/in")
+    caplog.set_level("WARNING", logger="rtshop")
+    job = run_dau(file_stream(spark, f"{folder}/in", 1), f"{folder}/dau", f"{folder}/checkpoint", interval=None,
+                  seen_for="1 hour")
+    job.awaitTermination()
+    assert dropped_rows(job) == 1
+    assert any("later than the watermark" in r.getMessage() for r in caplog.records)
+    strict = run_dau(file_stream(spark, f"{folder}/in", 1), f"{folder}/dau2", f"{folder}/checkpoint2", interval=None,
+                     seen_for="1 hour", strict=True)
+    with pytest.raises(StreamingQueryException):
+        strict.awaitTermination()
+
+
+def test_a_source_partition_may_be_behind(spark, records, write_file, folder):
+    """An order and its detail one second apart, both half an hour behind the others, still meet."""
+    topics = f"{folder}/topics"
+    for order_id, seconds in ((1, 2000), (2, 3800), (3, 700)):
+        write_file(records([(order_message(order_id), seconds)]), topic_folder(topics, "DWD_ORDER_INFO_I"))
+        write_file(records([(detail_message(10 * order_id, order_id), seconds + 1)]), topic_folder(topics, "DWD_ORDER_DETAIL_I"))
+    dim_save(records, folder, 0, user(1, "2004-01-16", "F"), NORTH)
+    order_job(spark, folder)
+    assert rows_of(daily_table(spark, f"{folder}/wide", ["detail_id"]), "detail_id") == [(10,), (20,), (30,)]
+
+
+def test_jobs_keep_what_they_leave_out(spark, records, write_file, folder):
+    nameless = {"common": {"uid": "u"}, "page": {"page_id": "home"}, "ts": 1}
+    write_file(records(["{broken", log_message("a", at(0)), nameless, log_message(None, at(0), page="home")]), f"{folder}/logs")
+    run_dau(file_stream(spark, f"{folder}/logs"), f"{folder}/dau", f"{folder}/c1", interval=None,
+            rejects=f"{folder}/r1").awaitTermination()
+    assert rows_of(rejected_table(spark, f"{folder}/r1"), "offset") == [(0,), (2,)]
+
+    write_file(records([None, change("user_info", "INSERT", {"id": 1}, {"name": "no id"}), change("x", "INSERT", {})]),
+               f"{folder}/changes")
+    run_router(file_stream(spark, f"{folder}/changes"), f"{folder}/topics", f"{folder}/dims", f"{folder}/c2", interval=None,
+               rejects=f"{folder}/r2").awaitTermination()
+    assert rows_of(rejected_table(spark, f"{folder}/r2"), "offset") == [(0,), (1,)]
+
+    write_file(records([order_message(1), {"user_id": 5}]), f"{folder}/orders")
+    write_file(records([detail_message(10, 1), {"id": 11}, {"order_id": 1}, "x"]), f"{folder}/details")
+    none = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", USER)
+    places = changelog_reader(f"{folder}/dims", "DIM_BASE_PROVINCE", PROVINCE)
+    run_order_wide(file_stream(spark, f"{folder}/orders"), file_stream(spark, f"{folder}/details"), none, places,
+                   f"{folder}/wide", f"{folder}/c3", as_of=AS_OF, interval=None, rejects=f"{folder}/r3").awaitTermination()
+    assert rejected_table(spark, f"{folder}/r3").count() == 4
+    assert rows_of(daily_table(spark, f"{folder}/wide", ["detail_id"]), "detail_id") == [(10,)]
 
 
 def test_empty_batches_are_not_written(spark, records, write_file, folder, caplog):
@@ -91,7 +153,7 @@ def test_empty_batches_are_not_written(spark, records, write_file, folder, caplo
     write_file(records(["{broken"]), f"{folder}/in")
     write_file(logs_of(records, ("a", 0, "first")), f"{folder}/in")
     start_job(dau_stream(file_stream(spark, f"{folder}/in", 1)), lambda batch, i: seen.append((i, batch.count())),
-              f"{folder}/checkpoint", "dau_empty", interval=None).awaitTermination()
+              f"{folder}/checkpoint", "dau_empty", interval=None, mode="update").awaitTermination()
     assert seen == [(1, 1)]
     assert [r.getMessage() for r in caplog.records if r.name == "rtshop"] == [
         "dau_empty: batch 0, 0 rows written", "dau_empty: batch 1, 1 rows written"]
