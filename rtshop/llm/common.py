@@ -17,6 +17,7 @@ from rtshop.session import shared_dir
 # White space of the contracts: space and the five ASCII controls 09 to 0D.
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+PART_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +87,15 @@ def add_columns(df: DataFrame, make: Callable[..., list], fields: list[T.StructF
     names = kept + [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(*(batch.column(c) for c in reads))
-            made = [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
+        for whole in batches:
+            # Parts of a few megabytes, so that what ``make`` builds for a part stays small beside the batch.
+            rows = max(1, int(whole.num_rows * PART_BYTES / max(1, whole.nbytes)))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                made = make(*(batch.column(c) for c in reads))
+                made = [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*dict.fromkeys(kept + reads)).mapInArrow(run, schema)
 

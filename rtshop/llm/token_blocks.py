@@ -47,9 +47,12 @@ END_ID = 1
 BLOCK = 128
 # Share of a block's numbers that must fit the packed width.
 PERCENTILE = 0.9
-SEGMENT_BYTES = 4_000_000
-CACHED_WORDS = 400_000  # a generation; two are kept
+SEGMENT_BYTES = 3_000_000
+CACHED_WORDS = 250_000  # a generation; two are kept
 CACHED_LENGTH = 64
+# A comma or full stop that might share a token with what is before it. The letter named becomes two characters, the
+# second no letter, when it is folded.
+NOT_APART = r"(^|[^\pL\pN]|\x{130})[,.]( |$)"
 MAGIC = b"PFB1"
 HEADER = struct.Struct("<4sQQQqIII")
 SEGMENTS = "part int, segment int, start long, n_ids long, n_docs long, payload binary"
@@ -60,43 +63,39 @@ DOCS = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """A PFOR stream of unsigned 64-bit numbers."""
-    values = np.asarray(values, np.uint64)
+    values = np.asarray(values)
     n = len(values)
     n_blocks = -(-n // block)
-    padded = np.zeros(n_blocks * block, np.uint64)
+    # Ids are small; half the width is half the work.
+    padded = np.zeros(n_blocks * block, np.uint32 if values.dtype.itemsize <= 4 else np.uint64)
     padded[:n] = values
     grid = padded.reshape(n_blocks, block)
     if n % block:
         grid[-1, n % block:] = grid[-1, n % block - 1]
     low = grid.min(axis=1)
     rest = grid - low[:, None]
-    bits = bit_length(rest)
     at = min(block - 1, int(np.ceil(percentile * block)) - 1)
-    width = np.partition(bits, at, axis=1)[:, at]
+    width = bit_length(np.partition(rest, at, axis=1)[:, at].astype(np.uint64))
     bodies: list[bytes] = [b""] * n_blocks
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        low_bits = rest[rows] & np.uint64(2 ** w - 1)
+        most = rest.dtype.type(min(2 ** w - 1, np.iinfo(rest.dtype).max))
+        low_bits = rest[rows] & most
         packed = pack_bits(low_bits, w).tobytes() if w else b""
         size = block * w // 8
-        outliers = (bits[rows] > w).sum(axis=1).tolist()
+        outliers = (rest[rows] > most).sum(axis=1).tolist()
         for k, (row, least, n_over) in enumerate(zip(rows.tolist(), low[rows].tolist(), outliers)):
             bodies[row] = struct.pack("<QBB", least, w, n_over) + packed[k * size:(k + 1) * size]
             if n_over:
-                over = np.flatnonzero(bits[row] > w)
-                high = rest[row][over] >> np.uint64(w)
+                over = np.flatnonzero(rest[row] > most)
+                high = rest[row][over] >> rest.dtype.type(w)
                 bodies[row] += over.astype(np.uint8).tobytes() + high.astype("<u8").tobytes()
     starts = np.cumsum([0] + [len(b) for b in bodies], dtype=np.uint64)
     return struct.pack("<Q", n) + starts.astype("<u4").tobytes() + b"".join(bodies)
 
 
-SMALL_LENGTHS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
-
-
 def bit_length(values: np.ndarray) -> np.ndarray:
     """Bits that each number needs, 0 for 0."""
-    if values.size and values.max() < len(SMALL_LENGTHS):
-        return SMALL_LENGTHS[values]
     out = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     # Rounding to a float may reach the next power of two.
     out -= (out > 53) & ((values >> (np.maximum(out, 1) - np.uint8(1)).astype(np.uint64)) == 0)
@@ -107,7 +106,7 @@ def pack_bits(rows: np.ndarray, width: int) -> np.ndarray:
     """Each row's numbers at ``width`` bits, lowest bit first, as a row of bytes. A block fills whole 64-bit words."""
     n, block = rows.shape
     words = np.zeros((block * width // 64, n), np.uint64)
-    for k, column in enumerate(np.ascontiguousarray(rows.T)):
+    for k, column in enumerate(np.ascontiguousarray(rows.T, np.uint64)):
         word, shift = divmod(k * width, 64)
         words[word] |= column << np.uint64(shift)
         if shift + width > 64:
@@ -218,27 +217,19 @@ class WordEncoder:
         return np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Add words to the cache. A letter and a closing comma or full stop never share a token, and case is folded."""
-        forms = {}
-        for word in new:
-            end = word[-1:] if word[-1:] in (",", ".") and "a" <= word[-2:-1] <= "z" else ""
-            stem = word[:-1] if end else word
-            forms[word] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, end)
-        stems = {f for pair in forms.values() for f in pair if f not in self._cache}
-        plain = [w for w in stems if w and self.MARK not in w and "<|" not in w and len(w) <= CACHED_LENGTH]
+        """Add words to the cache, all that a mark can be put between in one call of the library."""
+        plain = [w for w in new if w and self.MARK not in w and "<|" not in w and len(w) <= CACHED_LENGTH]
         if plain and len(self._mark) == 1:
             joined = f" {self.MARK} ".join(plain)
             ids = np.array(self._library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self._mark[0]).tolist()
             raw = ids.tobytes()
             if len(cuts) == len(plain) - 1:
-                for word, start, stop in zip(plain, [-1, *cuts], [*cuts, len(ids)]):
-                    self._cache[word] = raw[4 * start + 4:4 * stop]
-        for word in stems:
+                self._cache.update((word, raw[4 * start + 4:4 * stop])
+                                   for word, start, stop in zip(plain, [-1, *cuts], [*cuts, len(ids)]))
+        for word in new:
             if word not in self._cache:
                 self._cache[word] = self._alone(word)
-        for word, (stem, end) in forms.items():
-            self._cache[word] = self._cache[stem] + self._cache[end]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); a null text has none.
@@ -248,9 +239,13 @@ class WordEncoder:
         texts = pc.fill_null(texts, "")
         # ASCII capitals fold as in the vocabulary. Texts with what might be a special string are left as they are.
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        texts = pc.replace_substring(texts, "\n", " ")
+        # A comma or full stop after a letter or digit and before a blank is a token of its own, so it may stand alone.
+        apart = pc.replace_substring(pc.replace_substring(texts, ", ", " , "), ". ", " . ")
+        texts = pc.if_else(pc.match_substring_regex(texts, NOT_APART), texts, apart)
+        lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._cache) > CACHED_WORDS:
             self._cache, self._older = {}, self._cache
         known, older = self._cache.get, self._older.get
@@ -267,11 +262,12 @@ class WordEncoder:
                 del self._cache[word]
         table = np.frombuffer(b"".join(pieces), "<u4")
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        starts = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[which]
         until = np.concatenate([[0], np.cumsum(counts)])
-        ids = table[np.repeat(starts[which] - until[:-1], counts) + np.arange(until[-1])]
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - until[:-1], counts)
+        places += np.arange(until[-1])
+        ids = table[places]
         offsets = lists.offsets.to_numpy()
         return ids, np.diff(until[offsets - offsets[0]])
 
@@ -309,6 +305,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
                                                    (payload, pa.binary()))],
                     names=["part", "segment", "start", "n_ids", "n_docs", "payload"])
                 start, segment = start + len(ids), segment + 1
+        pa.default_memory_pool().release_unused()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The hash orders rows with equal ids and lets them spread over partitions.
@@ -341,6 +338,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array([part] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()),
                      pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()),
                      pa.array(crcs, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     rows = segments.select("part", "payload").mapInArrow(decode, DOCS)
     base = spark.createDataFrame(offsets, "part int, base long")
