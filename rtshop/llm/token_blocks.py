@@ -48,7 +48,7 @@ BLOCK = 128
 # Share of a block's numbers that must fit the packed width.
 PERCENTILE = 0.9
 SEGMENT_BYTES = 3_000_000
-CACHED_WORDS = 250_000  # a generation; two are kept
+CACHED_WORDS = 300_000  # a generation; two are kept
 CACHED_LENGTH = 64
 # A comma or full stop that might share a token with what is before it. The letter named becomes two characters, the
 # second no letter, when it is folded.
@@ -210,6 +210,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self._library = Tokenizer.from_file(path)
         self._mark = self._library.encode(self.MARK, add_special_tokens=False).ids
+        # Ids that end a word: a stretch of letters is one word, so its ids end with the only such one.
+        suffix = getattr(self._library.model, "end_of_word_suffix", None)
+        self._ends = np.zeros(self._library.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self._ends[[i for token, i in self._library.get_vocab(True).items() if token.endswith(suffix)]] = True
         self._cache: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -217,20 +222,29 @@ class WordEncoder:
         return np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Add words to the cache, all that a mark can be put between in one call of the library."""
+        """Add words to the cache. Words of letters go to the library in one call, and others that a mark can be put
+        between in another; what is left, or does not come back as sent, goes one by one."""
         plain = [w for w in new if w and self.MARK not in w and "<|" not in w and len(w) <= CACHED_LENGTH]
-        if plain and len(self._mark) == 1:
-            joined = f" {self.MARK} ".join(plain)
-            ids = np.array(self._library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self._mark[0]).tolist()
-            raw = ids.tobytes()
-            if len(cuts) == len(plain) - 1:
-                self._cache.update((word, raw[4 * start + 4:4 * stop])
-                                   for word, start, stop in zip(plain, [-1, *cuts], [*cuts, len(ids)]))
+        letters = [w for w in plain if w.isalpha()]
+        self._together(letters, " ", lambda ids: np.flatnonzero(self._ends[ids]) + 1, 0)
+        others = [w for w in plain if w not in self._cache]
+        if len(self._mark) == 1:
+            self._together(others, f" {self.MARK} ", lambda ids: np.flatnonzero(np.append(ids, self._mark) == self._mark[0]), 1)
         for word in new:
             if word not in self._cache:
                 self._cache[word] = self._alone(word)
 
+    def _together(self, words: list[str], between: str, ends, skip: int) -> None:
+        """Encode ``words`` in one call; ``ends`` finds where each one's ids end, ``skip`` ids before the next's."""
+        if not words:
+            return
+        ids = np.array(self._library.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = ends(ids)
+        if len(stops) == len(words):
+            raw, stops = ids.tobytes(), stops.tolist()
+            self._cache.update((word, raw[4 * start:4 * stop])
+                               for word, start, stop in zip(words, [0, *[s + skip for s in stops[:-1]]], stops))
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); a null text has none.
 
