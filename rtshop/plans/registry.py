@@ -489,8 +489,12 @@ def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
     users = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", ("id", "birthday", "gender"))
     provinces = changelog_reader(f"{folder}/dims", "DIM_BASE_PROVINCE",
                                  ("id", "name", "area_code", "iso_code", "iso_3166_2"))
-    order_records = X.fact_records(_orders(spark, sf), "DWD_ORDER_INFO_I", "id")
-    detail_records = X.fact_records(_details(spark, sf), "DWD_ORDER_DETAIL_I", "order_id")
+    # Written once; the spans are cut from what is written.
+    sent = {}
+    for name, rows, key in (("ORDER_INFO", _orders(spark, sf), "id"), ("ORDER_DETAIL", _details(spark, sf), "order_id")):
+        X.fact_records(rows, f"DWD_{name}_I", key).write.parquet(f"{folder}/{name}")
+        sent[name] = spark.read.parquet(f"{folder}/{name}")
+    order_records, detail_records = sent["ORDER_INFO"], sent["ORDER_DETAIL"]
     cuts = _cuts(order_records, detail_records)
     for span in range(SPANS):
         for part in (span, 0) if span == 1 else (span,):
