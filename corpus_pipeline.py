@@ -28,7 +28,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, trusted documents being those labelled good and not toxic."""
-    return quality.keep_good(docs, quality.trusted_documents(table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, quality.trusted_documents(table(spark, sf_dir, "labels")), distinct=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

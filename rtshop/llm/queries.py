@@ -53,7 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"),
-                           quality.trusted_documents(table(spark, sf_dir, "labels")))
+                           quality.trusted_documents(table(spark, sf_dir, "labels")), distinct=True)
     return judged.drop("text")
 
 

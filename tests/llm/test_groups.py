@@ -1,0 +1,51 @@
+"""Large groups: copies of a text, rows without an id, urls that repeat."""
+
+from __future__ import annotations
+
+import math
+
+import brute
+import pytest
+from conftest import SAMPLE
+from pyspark.sql import functions as F
+
+from rtshop.llm import quality, queries
+
+
+@pytest.fixture(scope="module")
+def thousand(spark):
+    """(doc_id, text) of a thousand documents, and the trusted ids."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    return sorted(rows), quality.trusted_documents(spark.read.parquet(f"{sf}/labels.parquet")).persist()
+
+
+# --- Quality ------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("percent", [1, 10, 33])
+def test_a_clean_text_with_many_copies_stays(documents, thousand, percent):
+    given, trusted = thousand
+    good = {r[0] for r in trusted.collect()}
+    # Clean as its own score says, which is that of one row among a thousand; no label names it.
+    scores = brute.ratio_scores(given, good, quality.BUCKETS)
+    text = next(t for (d, t), s in zip(given, scores)
+                if d not in good and not brute.base_counts(t)[-1] and s > -0.05 and len(brute.words(t)) > 50)
+    given = [r for r in given if r[1] != text]
+    n = round(len(given) * percent / (100 - percent))
+    copies = documents(given + [(10_000 + k, text) for k in range(n)])
+    kept = quality.keep_good(copies, trusted, distinct=True)
+    assert kept.filter(F.col("doc_id") >= 10_000).count() == n
+    once = quality.judge(documents([*given, (10_000, text)]), trusted, distinct=True).select("doc_id", "score").collect()
+    many = quality.judge(copies, trusted, distinct=True).select("doc_id", "score").collect()
+    once = {r[0]: r[1] for r in once}
+    assert all((r[1] is None) == (once[min(r[0], 10_000)] is None)
+               and (r[1] is None or math.isclose(r[1], once[min(r[0], 10_000)], abs_tol=1e-9)) for r in many)
+
+
+def test_the_query_counts_each_text_once(spark, sample):
+    trusted = {r[0] for r in quality.trusted_documents(spark.read.parquet(f"{SAMPLE}/labels.parquet")).collect()}
+    texts = {t for d, t in sample if d in trusted}
+    once = list({t: (-1 if t in texts else None, t) for _, t in sample}.values())
+    want = {t: s for (_, t), s in zip(once, brute.ratio_scores(once, {-1}, quality.BUCKETS))}
+    got = {r["doc_id"]: r["score"] for r in queries.op9_quality(spark, SAMPLE).collect()}
+    assert all(math.isclose(got[d], want[t], abs_tol=1e-9) for d, t in sample)
