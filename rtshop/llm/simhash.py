@@ -146,15 +146,24 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
-                    keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row of ``docs``, and the columns named in ``keep``."""
-    kept = ["doc_id", *[c for c in keep or [] if c not in ("doc_id", "fingerprint", "component_id")]]
+def _rooted(docs: DataFrame, radius: int, shingle: int, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``kept`` columns and ``simhash`` of every row, ``simhash, first, root`` of every fingerprint).
+
+    The root, the smallest fingerprint of a class, names it; ``first`` is the fingerprint's smallest ``doc_id``.
+    """
     prints = staged(fingerprints(docs, shingle, keep=kept), "simhash")
     first = staged(prints.groupBy("simhash").agg(F.min("doc_id").alias("first")), "prints")
     roots = staged(components(near_links(first, radius)), "roots")
     rooted = first.join(roots, F.col("simhash") == F.col("node"), "left").select(
         "simhash", "first", F.coalesce("root", "simhash").alias("root"))
+    return prints, rooted
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
+                    keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row of ``docs``, and the columns named in ``keep``."""
+    kept = ["doc_id", *[c for c in keep or [] if c not in ("doc_id", "fingerprint", "component_id")]]
+    prints, rooted = _rooted(docs, radius, shingle, kept)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(lowest, "root").select("simhash", "component_id")
     return (prints.join(classes, "simhash")
@@ -164,11 +173,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each class, all columns as they were: the smallest ``doc_id``'s.
 
-    Of rows that share it, one with the smallest hash of its text stays. Rows whose class has no id count as one class.
+    Of rows that share it, or of a class without ids, one with the smallest hash of its text stays. Classes are told
+    apart by their fingerprints, so those that share an id, or have none, each keep a row.
     """
-    marked = near_duplicates(docs.withColumn("llm_tie", F.xxhash64("text")), radius, shingle, keep=["llm_tie"])
+    prints, rooted = _rooted(docs.withColumn("llm_tie", F.xxhash64("text")), radius, shingle, ["doc_id", "llm_tie"])
     # The winner of a class, as (id, hash of the text): aggregated before the shuffle.
-    winners = marked.groupBy("component_id").agg(
+    winners = prints.join(rooted.select("simhash", "root"), "simhash").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "llm_tie")).alias("w"))
     key = lambda doc_id, tie: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), tie.cast("string"))
     winners = winners.select(key(F.col("w.doc_id"), F.col("w.llm_tie")).alias("llm_key"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 
 import brute
 import pytest
 from conftest import SAMPLE
 from pyspark.sql import functions as F
 
-from rtshop.llm import quality, queries
+from rtshop.llm import quality, queries, simhash
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,18 @@ def test_the_query_counts_each_text_once(spark, sample):
     want = {t: s for (_, t), s in zip(once, brute.ratio_scores(once, {-1}, quality.BUCKETS))}
     got = {r["doc_id"]: r["score"] for r in queries.op9_quality(spark, SAMPLE).collect()}
     assert all(math.isclose(got[d], want[t], abs_tol=1e-9) for d, t in sample)
+
+
+# --- Near-duplicates ----------------------------------------------------------------------------------------------
+
+def test_classes_without_ids_or_with_equal_ids_each_keep_a_row(documents):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(60)) for _ in range(12)]
+    # Five texts without an id, one of them twice; an id of two texts, of which the second has further ids; the others.
+    given = [(None, t) for t in texts[:5]] + [(None, texts[0]), (1, texts[5]), (1, texts[6]), (2, texts[6]), (3, texts[6])]
+    given += [(None, texts[7]), (9, texts[7])] + [(10 + k, t) for k, t in enumerate(texts[8:])]
+    assert len({c for _, c, _ in brute.near_duplicates(given)}) == len(texts)
+    got = simhash.one_of_each(documents(given)).select("doc_id", "text").collect()
+    want = [(None, t) for t in texts[:5]] + [(1, texts[5]), (1, texts[6]), (9, texts[7])]
+    want += [(10 + k, t) for k, t in enumerate(texts[8:])]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
