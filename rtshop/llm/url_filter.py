@@ -1,16 +1,16 @@
 """URL filter: rules by host and path, and boosted trees over lexical features for what no rule decides.
 
 The trees learn from the urls that the rules do decide: length, depth, shares of digits and signs, entropy, parameters,
-and how often the host's suffixes were blocked among the labelled urls. Features are SQL functions; training is Spark's
-gradient-boosted trees on a bounded sample of labelled urls, in one partition, so that runs agree; every other url is
-scored in the JVM.
+and how often the host's suffixes were blocked among the labelled urls. Features are SQL functions; suffixes are counted
+over all labelled urls; training is Spark's gradient-boosted trees on a bounded sample of distinct labelled urls, in one
+partition, so that runs agree; every other url is scored in the JVM.
 
 Defined results
 ---------------
 * Null url, and url without "://": host and path are empty; no rule fits, the model judges.
 * The longest rule wins (host and path together), of equal ones that with the longer host, then the later one.
 * Labelled urls of one verdict only: that verdict for all others. None labelled: all others are allowed.
-* Repeated rows are judged one by one and alike. An empty table gives an empty result. Other columns are dropped, or
+* Repeated rows are judged one by one and alike; a labelled url counts once for its suffixes and the trees. An empty table gives an empty result. Other columns are dropped, or
   pass through where kept. Long urls are measured whole.
 """
 
@@ -22,6 +22,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rtshop.functions.joins import broadcast_if_small
+from rtshop.llm.common import staged
+
 # (verdict, host, path prefix): rules with which the trees are trained too.
 RULES = (
     ("allow", "org", "/"),
@@ -30,7 +33,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# At most so many labelled urls are fitted: those of smallest hash.
+# At most so many distinct labelled urls are fitted: those of smallest hash of each verdict, which has its share of them,
+# a twentieth at least.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 # Weight of the overall share in a suffix's share of blocked urls.
@@ -90,40 +94,58 @@ def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int
     kept = [c for c in (pages.columns if keep is None else keep) if c not in made]
     urls = (pages.select(*dict.fromkeys([*kept, "url"])).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
             .withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)))
-    # The sample is bounded, so one partition may hold it; its order is that of the hash.
-    labelled = (urls.filter("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("double").alias("label"))
-                .orderBy(F.xxhash64("url"), "url").limit(sample).coalesce(1))
-    train = with_lexical(labelled).persist()
-    try:
-        n, blocked = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-        if blocked in (0.0, float(n)):
-            verdict = "block" if n and blocked else "allow"
-            judged = urls.withColumns({"verdict": F.coalesce(F.col("fit.verdict"), F.lit(verdict)),
-                                       "p_block": F.lit(None).cast("double")})
-        else:
-            judged = _judge(urls, train, n, blocked / n, trees, depth)
-    finally:
-        train.unpersist()
+    # Each labelled url once: a url that repeats is one row a task before the shuffle.
+    labelled = staged(urls.filter("fit is not null").groupBy("url").agg(
+        F.first("host").alias("host"), F.first("path").alias("path"),
+        F.first((F.col("fit.verdict") == "block").cast("double")).alias("label")), "labelled")
+    n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if blocked in (0.0, float(n)):
+        verdict = "block" if n and blocked else "allow"
+        judged = urls.withColumns({"verdict": F.coalesce(F.col("fit.verdict"), F.lit(verdict)),
+                                   "p_block": F.lit(None).cast("double")})
+    else:
+        train = with_lexical(fitted(labelled, n, int(blocked), sample)).persist()
+        try:
+            judged = _judge(urls, with_lexical(labelled), train, blocked / n, trees, depth)
+        finally:
+            train.unpersist()
     return judged.select(*kept, "host", "path", F.col("fit.rule").alias("rule"), "verdict", "p_block")
 
 
-def _judge(urls: DataFrame, train: DataFrame, n: int, prior: float, trees: int, depth: int) -> DataFrame:
-    """Fit on ``train``, score the urls that no rule decides."""
+def fitted(labelled: DataFrame, n: int, blocked: int, sample: int) -> DataFrame:
+    """At most ``sample`` of ``n`` labelled urls, ``blocked`` of them blocked; bounded, so one partition may hold it."""
+    least = sample // 20
+    block = min(max(round(sample * blocked / n), least), sample - least)
+    own = []
+    for label, most, there in ((1.0, block, blocked), (0.0, sample - block, n - blocked)):
+        # Hashes are even, so a share of their range holds as many as are ordered, and some more.
+        cut = int(-2 ** 63 + min(1.0, (1.2 * most + 100) / there) * (2 ** 64 - 1))
+        own.append(labelled.filter((F.col("label") == label) & (F.xxhash64("url") <= F.lit(min(cut, 2 ** 63 - 1))))
+                   .orderBy(F.xxhash64("url"), "url").limit(most))
+    # In order of the hash, so that runs agree.
+    return own[0].union(own[1]).coalesce(1).sortWithinPartitions(F.xxhash64("url"), "url")
+
+
+def _judge(urls: DataFrame, labelled: DataFrame, train: DataFrame, prior: float, trees: int, depth: int) -> DataFrame:
+    """Fit on ``train``, score the urls that no rule decides. Suffixes are counted over all of ``labelled``."""
+    counts = {name: broadcast_if_small(labelled.groupBy(F.col(name).alias("s")).agg(
+        F.count(F.lit(1)).alias("seen"), F.sum("label").alias("bad"))) for name in ("suffix1", "suffix2")}
+
     def with_shares(rows: DataFrame, own: Column | None = None) -> DataFrame:
         """Share of blocked urls by suffix; with ``own``, the row's label, without the row itself."""
-        for k, name in enumerate(("suffix1", "suffix2"), 1):
-            # As many rows as the sample has suffixes.
-            known = train.groupBy(F.col(name).alias("s")).agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("bad"))
+        for k, (name, known) in enumerate(counts.items(), 1):
             seen, bad = F.coalesce("seen", F.lit(0)), F.coalesce("bad", F.lit(0.0))
             if own is not None:
                 seen, bad = seen - 1, bad - own
-            rows = (rows.join(F.broadcast(known), F.col(name) == F.col("s"), "left")
+            rows = (rows.join(known, F.col(name) == F.col("s"), "left")
                     .withColumns({f"u_share{k}": (bad + PRIOR * prior) / (seen + PRIOR), f"u_seen{k}": seen})
                     .drop("s", "seen", "bad"))
         return rows
 
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="u_features")
-    known = assembler.transform(with_shares(train, F.col("label"))).select("u_features", "label").coalesce(1)
+    # A join may deal the rows anew; they are fitted in order of the hash.
+    known = (assembler.transform(with_shares(train, F.col("label"))).coalesce(1)
+             .sortWithinPartitions(F.xxhash64("url"), "url").select("u_features", "label"))
     model = GBTClassifier(featuresCol="u_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=SEED,
                           checkpointInterval=-1).fit(known)
     scored = model.transform(assembler.transform(with_shares(with_lexical(urls))))

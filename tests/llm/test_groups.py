@@ -10,7 +10,7 @@ import pytest
 from conftest import SAMPLE
 from pyspark.sql import functions as F
 
-from rtshop.llm import quality, queries, simhash
+from rtshop.llm import quality, queries, simhash, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,18 @@ def test_classes_without_ids_or_with_equal_ids_each_keep_a_row(documents):
     want = [(None, t) for t in texts[:5]] + [(1, texts[5]), (1, texts[6]), (9, texts[7])]
     want += [(10 + k, t) for k, t in enumerate(texts[8:])]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+# --- URLs ---------------------------------------------------------------------------------------------------------
+
+def test_suffixes_count_beyond_the_sample_and_copies_do_not_fill_it(spark):
+    # Odd hosts are blocked throughout, even ones never; apart from the host, urls of both kinds are alike.
+    hosts = [f"h{k:02d}" for k in range(40)]
+    rules = [(("allow", "block")[k % 2], h, "/l") for k, h in enumerate(hosts)]
+    given = [(f"http://{h}/l{j}",) for h in hosts for j in range(8)] + [(f"http://{h}/c{j}",) for h in hosts for j in range(2)]
+    urls = spark.createDataFrame(given, "url string")
+    first = urls.filter("url like '%/l%'").orderBy(F.xxhash64("url")).first()[0]
+    given = spark.createDataFrame([(k, u) for k, (u,) in enumerate(given + [(first,)] * 400)], "page_id long, url string")
+    judged = url_filter.filter_urls(given, rules=rules, sample=20).filter("rule is null").collect()
+    assert len(judged) == 80 and all(r["p_block"] is not None for r in judged)
+    assert all((r["verdict"] == "block") == (int(r["host"][1:]) % 2 == 1) for r in judged)
