@@ -56,6 +56,8 @@ CLASS_WORDS = frozenset("""ad ads advert adverts advertisement advertisements ad
     popup modal overlay newsletter subscribe subscription signup login social share sharing comment comments reply replies
     respond disqus related recommended widget pagination pager skip""".split())
 SEMANTIC = frozenset(("article", "main"))
+# Their class and id say how the page is laid out, not what they are.
+WHOLE = frozenset(("html", "body", "main"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -89,7 +91,7 @@ def look(tag: str, more: str) -> tuple[str, bool]:
             label += "@" + value
         else:
             words = WORDS.findall(value)
-            marked |= not CLASS_WORDS.isdisjoint(words)
+            marked |= tag not in WHOLE and not CLASS_WORDS.isdisjoint(words)
             # Numbers in ids differ from page to page; the words do not.
             label += ("." if name == "class" else "#") + "-".join(words)
     return label, marked

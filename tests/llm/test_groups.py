@@ -10,7 +10,7 @@ import pytest
 from conftest import SAMPLE
 from pyspark.sql import functions as F
 
-from rtshop.llm import quality, queries, simhash, url_filter
+from rtshop.llm import html_template, quality, queries, simhash, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,10 @@ def test_suffixes_count_beyond_the_sample_and_copies_do_not_fill_it(spark):
     judged = url_filter.filter_urls(given, rules=rules, sample=20).filter("rule is null").collect()
     assert len(judged) == 80 and all(r["p_block"] is not None for r in judged)
     assert all((r["verdict"] == "block") == (int(r["host"][1:]) % 2 == 1) for r in judged)
+
+
+# --- HTML ---------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("opening", ["<html class='no-cookies cookie'><body>", "<body class='has-sidebar'>", "<body id=menu><main class='with-menu'>"])
+def test_class_words_of_the_whole_page_drop_nothing(opening):
+    assert html_template.main_text(f"{opening}<p>Story</p><div class=sidebar>Side</div>") == "Story"
