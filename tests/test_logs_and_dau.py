@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import at, log_message, rows_of
+from helpers import at, log_message, rows_of
 
 from rtshop.operators import dau, logs
 

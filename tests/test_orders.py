@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import at, detail_message, order_message, rows_of
+from helpers import at, detail_message, order_message, rows_of
 
 from rtshop.operators import keyed, orders
 from rtshop.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE

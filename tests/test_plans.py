@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import pytest
-from conftest import plan_of, rows_of
+from helpers import plan_of, rows_of
 from pyspark.sql import functions as F
 
 from rtshop import fixtures as X

@@ -4,7 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import plan_of, rows_of
+from helpers import plan_of, rows_of
 
 from rtshop.plans.reports import ShopReports
 from rtshop.session import shared_dir

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import START, at, change, detail_message, log_message, order_message, rows_of
+from helpers import START, at, change, detail_message, log_message, order_message, rows_of
 from pyspark.errors import StreamingQueryException
 
 from rtshop.operators import dims, logs, orders
