@@ -132,6 +132,14 @@ def ratio_scores(rows, trusted, buckets, grams=(1,)):
     return [np.mean([weight(b) for b in f]) if (f := features(t)) else None for _, t in rows]
 
 
+def distinct_scores(rows, trusted, buckets):
+    """The same with each distinct text counted once, as trusted where one of its copies is."""
+    good = {t for d, t in rows if d in trusted}
+    once = list({t: (-1 if t in good else None, t) for _, t in rows}.values())
+    score = {t: s for (_, t), s in zip(once, ratio_scores(once, {-1}, buckets))}
+    return [score[t] for _, t in rows]
+
+
 def token_rows(rows, encode, end=1):
     """(doc_id, start, n_tokens, ids_crc32) in ascending doc_id order."""
     out, start = [], 0

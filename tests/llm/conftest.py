@@ -1,13 +1,7 @@
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
-SAMPLE = "/root/testdata/sf0.001"
+from samples import ODD, SAMPLE
 
 
 @pytest.fixture(scope="session")
@@ -26,10 +20,6 @@ def documents(spark):
     return build
 
 
-ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (5, "one"), (None, "one two three four five six"),
-       (None, None), (6, "word " * 3000), (7, "é漢字 🙂 \x00\x1c end"), (8, "a" * 5000)]
-
-
 @pytest.fixture(scope="session")
 def odd():
     """Nulls, empty and blank texts, repeated rows, missing ids, long texts, signs of all kinds."""

@@ -7,7 +7,7 @@ import random
 
 import brute
 import pytest
-from conftest import SAMPLE
+from samples import SAMPLE
 from pyspark.sql import functions as F
 
 from rtshop.llm import decontaminate, licenses, quality, queries, repeats, simhash, token_blocks, token_counts

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import brute
 import pytest
-from conftest import SAMPLE
+from samples import SAMPLE
 from pyspark.sql import functions as F
 from test_documents import NO_ROWS, clashing, library, rows
 
@@ -187,8 +187,8 @@ def test_mixed_rows_repeat_as_often_as_taken(documents):
 def test_pipeline_equals_its_plain_version(spark, sample):
     import corpus_pipeline
     from rtshop.llm import quality
-    labels = {r[0] for r in quality.trusted_documents(spark.read.parquet(f"{SAMPLE}/labels.parquet")).collect()}
-    scores = brute.ratio_scores(sample, labels, quality.BUCKETS)
+    trusted = {r[0] for r in quality.trusted_documents(spark.read.parquet(f"{SAMPLE}/labels.parquet")).collect()}
+    scores = brute.distinct_scores(sample, trusted, quality.BUCKETS)
     docs = [r for r, s in zip(sample, scores) if not brute.base_counts(r[1])[-1] and s >= quality.THRESHOLD]
     docs = [r for r, c in zip(docs, brute.near_duplicates(docs)) if c[0] == c[2]]
     items = [tuple(r) for r in spark.read.parquet(f"{SAMPLE}/benchmark.parquet").select("item_id", "text").collect()]
@@ -217,6 +217,6 @@ def test_stages_return_the_columns_of_documents(spark, documents, odd):
 def test_the_entry_registers_one_query_for_each_operator():
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n).group(1)) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n).group(1)) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and "op1_mixing" in entry.oracle_sql()
     assert Path(entry.__file__).exists()
