@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -166,3 +167,80 @@ def licenses(rows, templates, share=0.8):
                     out.add((d, name))
                     break
     return out
+
+
+def runs(own, least=24, times=3):
+    """(start, length, period) of all runs of a list of words, by trying every period."""
+    found = {}
+    for q in range(1, len(own) // times + 1):
+        i = 0
+        while i + q < len(own):
+            if own[i] != own[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(own) and own[j] == own[j + q]:
+                j += 1
+            if j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = j
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def periodic(rows):
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)."""
+    out = []
+    for d, text in rows:
+        own = words(text)
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        if h % 10 == 0 and own:
+            n, g = len(own), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            own = [own[i] if i < a else own[a + (i - a) % p] for i in range(n)]
+        found = runs(own)
+        best = min(found, key=lambda r: (Fraction(-r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+        gone = {i for s, n, q in found for i in range(s + q, s + n)}
+        lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+        left = " ".join(w for i, w in enumerate(own) if i not in gone)
+        out.append((d, len(found), *best, 1000 * best[1] // best[2] if found else None,
+                    hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest()))
+    return out
+
+
+def spelling_counts(rows, signs=6, times=5):
+    """{word: n} of (doc_id, text), one in 199 distinct runs of a document with a code point less."""
+    counts = Counter()
+    for d, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{d}:{run}".encode()) if d is not None else 1
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= signs and n >= times}
+
+
+def near(a, b):
+    """One inserted, deleted or replaced sign turns one word into the other."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1:] == short for i in range(len(long)))
+
+
+def spelling(counts, times=5):
+    """(word, form, root, n, n_near, form_n) by comparing every pair of words."""
+    forms, lines = {}, {}
+    for w, n in counts.items():
+        close = [v for v in counts if near(w, v)]
+        best = min(close, key=lambda v: (-counts[v], v), default=None)
+        forms[w] = best if best is not None and counts[best] >= times * n else None
+        lines[w] = (n, len(close))
+    out = []
+    for w, (n, n_near) in lines.items():
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out.append((w, forms[w], root, n, n_near, counts.get(forms[w])))
+    return out
