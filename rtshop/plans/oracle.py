@@ -304,6 +304,24 @@ ORACLE: dict[str, str] = {
                           + (SELECT count(*) FROM first_page WHERE event_id % 20 = 10)""",
     "stream_cdc_route": f"WITH {_ROUTED} SELECT topic, key, value FROM routed",
     "stream_dim_merge": _MERGED_ROWS,
+    "stream_dim_roll": f"""
+        WITH {_CUSTOMER_CHANGES}, {_MERGED},
+        early AS (
+          SELECT CAST(id AS VARCHAR) AS id, arg_max(name, seq) FILTER (WHERE name <> '') AS name,
+                 arg_max(gender, seq) FILTER (WHERE gender <> '') AS gender,
+                 arg_max(segment, seq) FILTER (WHERE segment <> '') AS segment
+          FROM changes WHERE seq < 3 GROUP BY 1
+        )
+        SELECT 'meanwhile' AS phase, * FROM early UNION ALL SELECT 'rolled', * FROM early
+        UNION ALL SELECT 'end', CAST(id AS VARCHAR), name, gender, segment FROM merged""",
+    "day_table_roll": f"""
+        WITH {_ORDERS},
+        early AS (SELECT create_date AS dt, CASE WHEN order_status = 'F' THEN 'CLOSED' ELSE order_status END AS order_status,
+                         count(*) AS cnt FROM order_info GROUP BY 1, 2)
+        SELECT 'meanwhile' AS phase, * FROM early UNION ALL SELECT 'rolled', * FROM early
+        UNION ALL
+        SELECT 'end', create_date, CASE WHEN priority = '5-LOW' THEN 'DROPPED' WHEN order_status = 'F' THEN 'CLOSED'
+               ELSE order_status END AS status, count(*) FROM order_info GROUP BY 2, 3""",
     "stream_order_wide": f"""
         WITH {_FACTS}
         SELECT {_WIDE_COLUMNS}

@@ -16,10 +16,11 @@ from rtshop.schemas import DAU_COLUMNS, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from rtshop.session import prepare, shared_dir
 from rtshop.sinks.batches import save_daily, with_partition
 from rtshop.sources.bootstrap import bootstrap_messages
-from rtshop.sources.daily import changelog, daily_table, rejected_table
+from rtshop.sources.daily import daily_table, expire_days, rejected_table, roll_days
+from rtshop.sources.dim_store import changelog, changelog_reader, expire_dims, roll_dims
 from rtshop.sources.records import file_stream, record_table
 from rtshop.streaming.dau import run_dau
-from rtshop.streaming.order_wide import changelog_reader, run_order_wide
+from rtshop.streaming.order_wide import run_order_wide
 from rtshop.streaming.router import run_router
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +474,63 @@ def stream_dim_merge(spark: SparkSession, sf: str) -> DataFrame:
     return dims.dim_rows(changelog(spark, f"{folder}/dims"), "DIM_USER_INFO", USER_COLUMNS)
 
 
+@register
+def stream_dim_roll(spark: SparkSession, sf: str) -> DataFrame:
+    """A dimension looked up by key while its changelog is rolled, after that, and in the end.
+
+    The router saves inserts, updates and deletes in three starts. One reader opens the store before it is rolled and reads
+    afterwards; two more rolls and the removal of what they replaced follow the last start, which is sent twice.
+    """
+    folder = _work_folder(spark, "stream_dim_roll")
+    records = X.dim_change_records(X.table(spark, sf, "customer"))
+
+    def route(offset: int) -> None:
+        records.filter(F.col("offset") == offset).write.mode("append").parquet(f"{folder}/in")
+        run_router(file_stream(spark, f"{folder}/in", FILES_PER_BATCH), f"{folder}/topics", f"{folder}/dims",
+                   f"{folder}/checkpoint", interval=None).awaitTermination()
+
+    read = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", USER_COLUMNS)
+    keys = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    route(0), route(1)
+    meanwhile = read(spark, keys)
+    roll_dims(spark, f"{folder}/dims")
+    phases = {"meanwhile": meanwhile, "rolled": read(spark, keys)}
+    route(2), route(2)
+    roll_dims(spark, f"{folder}/dims")
+    phases["end"] = read(spark, keys)
+    rows = [df.select(F.lit(name).alias("phase"), *USER_COLUMNS) for name, df in phases.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@register
+def day_table_roll(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders saved four times, read while and after their days are rolled, and when old folders are gone."""
+    folder = _work_folder(spark, "day_table_roll")
+    source = X.table(spark, sf, "orders")
+    low = source.filter(F.col("o_orderpriority") == "5-LOW")
+
+    def save(batch: int, rows: DataFrame, status: Column) -> None:
+        save_daily(X.order_info(rows).withColumn("order_status", status).withColumnRenamed("create_date", "dt"), folder, batch)
+
+    def note(phase: str, rows: DataFrame) -> None:
+        counts = rows.groupBy("dt", "order_status").agg(F.count(F.lit(1)).alias("cnt"))
+        counts.write.parquet(f"{folder}-seen/phase={phase}")
+
+    save(0, source, F.col("order_status"))
+    save(1, source.filter(F.col("o_orderstatus") == "F"), F.lit("CLOSED"))
+    meanwhile = daily_table(spark, folder, ["id"])
+    roll_days(spark, folder, ["id"])
+    note("meanwhile", meanwhile)
+    note("rolled", daily_table(spark, folder, ["id"]))
+    # Two more rolls: what the first base replaced may go then.
+    for batch in (2, 3):
+        save(batch, low, F.lit("DROPPED"))
+        roll_days(spark, folder, ["id"])
+    expire_days(spark, folder, keep=2)
+    note("end", daily_table(spark, folder, ["id"]))
+    return spark.read.parquet(f"{folder}-seen").select("phase", "dt", "order_status", "cnt")
+
+
 @register
 def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Both fact streams into the order-wide day table, which is then read back.
@@ -504,4 +562,6 @@ def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
                        file_stream(spark, f"{folder}/details", FILES_PER_BATCH), users, provinces, f"{folder}/wide",
                        f"{folder}/checkpoint", as_of=X.AS_OF, interval=None,
                        partitions=_state_partitions(spark)).awaitTermination()
+        # The dimensions are rolled while the job's tables stay as they are: later spans read the base.
+        roll_dims(spark, f"{folder}/dims")
     return daily_table(spark, f"{folder}/wide", ["detail_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _replace_batch(df: DataFrame, path: str, batch_id: int, folders: Sequence[str]) -> None:
+def replace_batch(df: DataFrame, path: str, batch_id: int, folders: Sequence[str]) -> None:
     """Write ``df`` as the only content of this batch; other batches stay.
 
     A repeated batch first loses what it wrote before, in all folders: it may have no rows for some of them now.
@@ -30,17 +30,12 @@ def save_daily(df: DataFrame, path: str, batch_id: int) -> None:
     have an ``offset``, else that of the larger hash, so that repeated reads and repeated batches agree.
     """
     order = F.col("offset") if "offset" in df.columns else F.xxhash64(*df.columns)
-    _replace_batch(df.withColumn("_order", order), path, batch_id, ["dt"])
-
-
-def save_changes(df: DataFrame, path: str, batch_id: int) -> None:
-    """K3: append rows of ``dim_changes`` to the changelog."""
-    _replace_batch(df, path, batch_id, ["dim_table"])
+    replace_batch(df.withColumn("_order", order), path, batch_id, ["dt"])
 
 
 def save_rejects(records: DataFrame, path: str, batch_id: int) -> None:
     """Save records that a job leaves out, as they came."""
-    _replace_batch(records, path, batch_id, [])
+    replace_batch(records, path, batch_id, [])
 
 
 def with_partition(messages: DataFrame, partitions: int) -> DataFrame:
@@ -61,7 +56,7 @@ def write_topic_files(messages: DataFrame, path: str, batch_id: int, partitions:
     if "timestamp" not in rows.columns:
         rows = rows.withColumn("timestamp", F.current_timestamp())
     rows = rows.select("key", "value", "topic", "partition", "offset", "timestamp", F.col("topic").alias("_topic"))
-    _replace_batch(rows, path, batch_id, ["_topic"])
+    replace_batch(rows, path, batch_id, ["_topic"])
 
 
 def topic_folder(path: str, topic: str) -> str:

@@ -1,0 +1,182 @@
+"""Bases, manifests and keyed folders: what readers see while tables are rolled."""
+
+from __future__ import annotations
+
+import pytest
+from helpers import change, plan_of, rows_of
+from pyspark.sql import functions as F
+
+from rtshop.operators.changes import dim_changes, row_changes
+from rtshop.operators.dims import dim_rows
+from rtshop.sinks.batches import save_daily
+from rtshop.sources import manifest as M
+from rtshop.sources.daily import daily_table, expire_days, roll_days, saved_rows, searched_table
+from rtshop.sources.dim_store import (
+    bucket_of, changelog, changelog_reader, expire_dims, roll_dims, save_changes, store_buckets)
+from rtshop.sources.files import Store
+
+COLUMNS = ("id", "name")
+D1, D2 = "2024-01-10", "2024-01-11"
+SHAPE = "dt string, id long, name string, offset long"
+
+
+def save(spark, folder, batch, *rows):
+    save_daily(spark.createDataFrame(list(rows), SHAPE), folder, batch)
+
+
+def route(records, folder, batch, *messages, buckets=16):
+    rows = row_changes(records(messages, first_offset=100 * batch))
+    save_changes(dim_changes(rows, order=["offset"]), folder, batch, buckets)
+
+
+def users(*pairs, kind="INSERT"):
+    return change("user_info", kind, *[{"id": i, "name": name} for i, name in pairs])
+
+
+def asked(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id long")
+
+
+# ---- dimensions ------------------------------------------------------------------------------------------------
+
+def test_a_lookup_reads_the_folders_of_its_keys_only(spark, records, folder):
+    for batch in range(4):
+        route(records, folder, batch, users(*[(i, f"n{batch}") for i in range(40)]), buckets=8)
+    read = changelog_reader(folder, "DIM_USER_INFO", COLUMNS)
+    one = read(spark, asked(spark, 7))
+    assert rows_of(one) == [("7", "n3")]
+    bucket = spark.createDataFrame([("7000000000",)], "k string").select(bucket_of(F.col("k"), 8)).first()[0]
+    assert {f.split("bucket=")[1].split("/")[0] for f in one.inputFiles()} == {str(bucket)}
+    assert "PushedFilters: [IsNotNull(rowkey), EqualTo(rowkey,7000000000)]" in plan_of(one) or "7000000000" in plan_of(one)
+    roll_dims(spark, folder)
+    roll_dims(spark, folder)
+    again = read(spark, asked(spark, 7))
+    assert rows_of(again) == [("7", "n3")]
+    # The base and the last batch, whatever was saved before.
+    live = [f for f in again.inputFiles() if "_base" in f]
+    assert len(live) == 1 and f"bucket={bucket}" in live[0]
+    expire_dims(spark, folder, keep=1)
+    assert len(read(spark, asked(spark, 7)).inputFiles()) == 2
+
+
+def test_files_read_do_not_grow_with_batches(spark, records, folder):
+    read, counts = changelog_reader(folder, "DIM_USER_INFO", COLUMNS), []
+    for batch in range(7):
+        route(records, folder, batch, users((1, f"n{batch}"), (2, "b")), buckets=4)
+        if batch % 2:
+            roll_dims(spark, folder)
+            expire_dims(spark, folder, keep=1)
+        found = read(spark, asked(spark, 1))
+        assert rows_of(found) == [("1", f"n{batch}")]
+        counts.append(len(found.inputFiles()))
+    assert max(counts) <= 3
+
+
+@pytest.mark.parametrize("deletes", [False, True])
+def test_a_reader_during_a_roll_equals_one_after_it(spark, records, folder, deletes):
+    route(records, folder, 0, users((1, "a"), (2, "b"), (3, "c")))
+    route(records, folder, 1, users((1, "x")), users((2, ""), kind="DELETE"))
+    route(records, folder, 2, users((3, "z")), change("base_province", "INSERT", {"id": 1, "name": "north"}))
+    state = lambda: dim_rows(changelog(spark, folder), "DIM_USER_INFO", COLUMNS, deletes)
+    before = state()
+    want = [("1", "x"), ("3", "z")] if deletes else [("1", "x"), ("2", "b"), ("3", "z")]
+    roll_dims(spark, folder, honor_deletes=deletes)
+    assert rows_of(before) == rows_of(state()) == want
+    # What comes later is merged over the base; a batch that is repeated after the roll replaces itself only.
+    for _ in range(2):
+        route(records, folder, 3, users((1, "y")))
+    roll_dims(spark, folder, honor_deletes=deletes)
+    assert ("1", "y") in rows_of(state())
+    assert rows_of(dim_rows(changelog(spark, folder), "DIM_BASE_PROVINCE", COLUMNS)) == [("1", "north")]
+
+
+def test_many_keys_are_joined_and_unknown_keys_find_nothing(spark, records, folder, monkeypatch):
+    from rtshop.sources import dim_store
+    route(records, folder, 0, users(*[(i, f"n{i}") for i in range(30)]))
+    monkeypatch.setattr(dim_store, "NAMED_KEYS", 5)
+    read = changelog_reader(folder, "DIM_USER_INFO", COLUMNS)
+    assert rows_of(read(spark, asked(spark, *range(20), 777))) == sorted((str(i), f"n{i}") for i in range(20))
+    assert rows_of(read(spark, asked(spark, 999))) == [] and rows_of(read(spark, asked(spark, None))) == []
+    assert rows_of(changelog_reader(folder, "DIM_NONE", COLUMNS)(spark, asked(spark, 1))) == []
+
+
+def test_the_number_of_buckets_stays(spark, records, folder):
+    route(records, folder, 0, users((1, "a")), buckets=4)
+    route(records, folder, 1, users((1, "b")), buckets=64)
+    assert store_buckets(spark, folder) == 4
+    assert rows_of(changelog_reader(folder, "DIM_USER_INFO", COLUMNS)(spark, asked(spark, 1))) == [("1", "b")]
+
+
+# ---- day tables ------------------------------------------------------------------------------------------------
+
+def test_days_are_rolled_without_a_gap(spark, folder):
+    save(spark, folder, 0, (D1, 1, "red", 1), (D1, 2, "red", 2), (D2, 1, "red", 3))
+    save(spark, folder, 1, (D1, 1, "blue", 4))
+    save(spark, folder, 2, (D2, 5, "red", 5))
+    before = daily_table(spark, folder, ["id"])
+    roll_days(spark, folder, ["id"], D1)
+    want = [(D1, 1, "blue", 4), (D1, 2, "red", 2), (D2, 1, "red", 3), (D2, 5, "red", 5)]
+    after = daily_table(spark, folder, ["id"])
+    assert rows_of(before, "dt", "id", "name", "offset") == rows_of(after, "dt", "id", "name", "offset") == want
+    assert saved_rows(spark, folder, D1).count() == 2
+    # The last batch may be repeated with other rows after the roll.
+    save(spark, folder, 2, (D1, 2, "green", 6))
+    assert rows_of(daily_table(spark, folder, ["id"], D1), "id", "name") == [(1, "blue"), (2, "green")]
+    roll_days(spark, folder, ["id"])
+    save(spark, folder, 3, (D1, 1, "last", 9))
+    for _ in range(2):
+        roll_days(spark, folder, ["id"])
+    expire_days(spark, folder, keep=2)
+    assert rows_of(daily_table(spark, folder, ["id"]), "dt", "id", "name") == [
+        (D1, 1, "last"), (D1, 2, "green"), (D2, 1, "red")]
+    expire_days(spark, folder, keep=1)
+    assert M.batches(spark, folder, "dt=*") == [3]
+    assert rows_of(daily_table(spark, folder, ["id"]), "dt", "id", "name") == [
+        (D1, 1, "last"), (D1, 2, "green"), (D2, 1, "red")]
+    assert daily_table(spark, folder, ["id"], "1999-01-01").count() == 0
+
+
+def test_first_saves_stay_first_over_a_base(spark, folder):
+    for batch in range(3):
+        save(spark, folder, batch, (D1, 1, f"n{batch}", batch))
+    roll_days(spark, folder, ["id"], first=True)
+    save(spark, folder, 3, (D1, 1, "n3", 3))
+    assert rows_of(daily_table(spark, folder, ["id"], first=True), "name") == [("n0",)]
+
+
+def test_one_roll_follows_a_version(spark, folder):
+    save(spark, folder, 0, (D1, 1, "a", 1))
+    save(spark, folder, 1, (D1, 1, "b", 2))
+    assert Store(spark, folder).create("_manifest/000000000.claim")
+    with pytest.raises(RuntimeError, match="another roll"):
+        roll_days(spark, folder, ["id"])
+    M.release(spark, folder)
+    roll_days(spark, folder, ["id"])
+    assert M.read_manifest(spark, folder).version == 1
+    # Without a new batch there is nothing to roll.
+    assert roll_days(spark, folder, ["id"]).version == 1
+
+
+def test_a_roll_that_dies_leaves_the_table_as_it_was(spark, folder):
+    save(spark, folder, 0, (D1, 1, "a", 1))
+    save(spark, folder, 1, (D1, 2, "b", 2))
+
+    def broken(base, manifest, upto):
+        spark.range(3).write.parquet(base)
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        M.roll(spark, folder, "dt=*", [D1], broken)
+    assert rows_of(daily_table(spark, folder, ["id"]), "id", "name") == [(1, "a"), (2, "b")]
+
+
+def test_the_search_sees_the_last_row_of_a_batch(spark, folder):
+    """Two rows of one id in one batch, and rows without an id: as the day table has them."""
+    save(spark, folder, 0, (D1, 1, "red", 1), (D1, 1, "blue", 2), (D1, 2, "blue", 3), (D1, 2, "red", 4),
+         (D1, None, "red", 5))
+    save(spark, folder, 1, (D1, 3, "red", 6), (D1, None, "blue", 7), (D2, None, "red", 8))
+    keep = lambda rows: rows.filter("name = 'red'")
+    for days in ((), (D1,), (D2,)):
+        want = rows_of(keep(daily_table(spark, folder, ["id"], *days)), "dt", "id", "name")
+        assert rows_of(searched_table(spark, folder, ["id"], keep, *days), "dt", "id", "name") == want
+    assert want == [(D2, None, "red")]

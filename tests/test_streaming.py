@@ -7,11 +7,12 @@ from helpers import START, at, change, detail_message, log_message, order_messag
 from pyspark.errors import StreamingQueryException
 
 from rtshop.operators import dims, logs, orders
-from rtshop.sinks.batches import save_changes, topic_folder
-from rtshop.sources.daily import changelog, daily_table, rejected_table, saved_rows
+from rtshop.sinks.batches import topic_folder
+from rtshop.sources.daily import daily_table, rejected_table, saved_rows
+from rtshop.sources.dim_store import changelog, changelog_reader, save_changes
 from rtshop.sources.records import file_stream, record_table
 from rtshop.streaming.dau import dau_stream, run_dau
-from rtshop.streaming.order_wide import changelog_reader, run_order_wide
+from rtshop.streaming.order_wide import run_order_wide
 from rtshop.streaming.router import run_router
 from rtshop.streaming.runtime import dropped_rows, offset_ranges, start_job, state_rows
 
