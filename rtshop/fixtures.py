@@ -171,3 +171,23 @@ def fact_records(rows: DataFrame, topic: str, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*payload)).alias("value"),
                        F.lit(topic).alias("topic"), F.lit(0).alias("partition"),
                        F.col(key).cast("bigint").alias("offset"), "timestamp")
+
+
+HALF_SPAN = 1_296_000
+
+
+def timed_user_changes(customer: DataFrame) -> DataFrame:
+    """Changes of ``user_info`` over the time of the orders: inserted at its start as of gender M, then, at moments that
+    follow from the key, F in the first half of the time and X in the second; each third key never changes."""
+    key = F.col("c_custkey")
+    moments = [F.lit(0), key * 7919 % HALF_SPAN, key * 104729 % HALF_SPAN + HALF_SPAN]
+    birthday = F.date_format(F.date_add(F.lit("1965-01-01").cast("date"), (key * 37 % 16000).cast("int")), "yyyy-MM-dd")
+    rows = [_texts(id=key, birthday=birthday, gender=F.lit("M")), _texts(id=key, gender=F.lit("F")),
+            _texts(id=key, gender=F.lit("X"))]
+    messages = [F.struct(F.timestamp_seconds(F.unix_seconds(F.lit(START).cast("timestamp")) + at).alias("timestamp"),
+                         F.lit(i).cast("bigint").alias("offset"), _envelope("user_info", "INSERT" if not i else "UPDATE", row).alias("value"))
+                for i, (at, row) in enumerate(zip(moments, rows))]
+    sent = customer.select(F.explode(F.filter(F.array(*[F.when((key % 3 != 0) | (F.lit(i) == 0), m) for i, m in enumerate(messages)]),
+                                              lambda m: m.isNotNull())).alias("m"))
+    return sent.select(F.lit(None).cast("string").alias("key"), "m.value", F.lit("ODS_BASE_DB_C").alias("topic"),
+                       F.lit(0).alias("partition"), "m.offset", "m.timestamp")

@@ -200,12 +200,12 @@ def order_detail_interval(orders: DataFrame, details: DataFrame, seconds: int =
     return left.join(right, same & near, "inner")
 
 
-def wide_rows(pairs: DataFrame) -> DataFrame:
+def wide_rows(pairs: DataFrame, arrival: bool = False) -> DataFrame:
     """Order-wide rows from prefixed pairs.
 
     Where both rows have a column the detail's value is taken, so ``create_time`` is the detail's, while
     ``create_date`` and ``create_hour`` are the order's. Dimension columns are there if the orders had them. ``dt``,
-    added last, is the day the row is stored under.
+    added last, is the day the row is stored under. With ``arrival`` the order's arrival comes along as ``arrived``.
     """
     present = set(pairs.columns)
     columns = []
@@ -215,7 +215,8 @@ def wide_rows(pairs: DataFrame) -> DataFrame:
             source = f"d_{name}" if f"d_{name}" in present else f"o_{name}"
         if source in present or name not in WIDE_FROM_DIMS:
             columns.append(F.col(source).alias(name))
-    return pairs.select(*columns, F.col("o_create_date").alias("dt"))
+    arrived = [F.col("o_timestamp").alias("arrived")] if arrival else []
+    return pairs.select(*columns, *arrived, F.col("o_create_date").alias("dt"))
 
 
 def order_wide(orders: DataFrame, details: DataFrame, users: DataFrame | None, provinces: DataFrame | None, as_of=None,

@@ -208,6 +208,19 @@ ORACLE: dict[str, str] = {
         WITH {_ORDERS}, {_DIMS}
         SELECT o.id, o.user_id, o.total_amount, {_AGE} AS user_age, u.gender AS user_gender
         FROM order_info o LEFT JOIN user_info u ON u.id = o.user_id""",
+    "order_user_as_of": f"""
+        WITH {_ORDERS}, {_DIMS}
+        SELECT o.id, o.user_id, CAST((CAST(o.arrived AS DATE) - u.birthday) // 365 AS INTEGER) AS user_age,
+               CASE WHEN u.id IS NULL THEN NULL WHEN u.id % 3 = 0 THEN 'M'
+                    WHEN o.arrived >= TIMESTAMP '2024-01-01' + to_seconds(u.id * 104729 % 1296000 + 1296000) THEN 'X'
+                    WHEN o.arrived >= TIMESTAMP '2024-01-01' + to_seconds(u.id * 7919 % 1296000) THEN 'F'
+                    ELSE 'M' END AS user_gender
+        FROM order_info o LEFT JOIN user_info u ON u.id = o.user_id""",
+    "snapshot_handoff": f"""
+        WITH {_DIMS}
+        SELECT CAST(u.id AS VARCHAR) AS id,
+               CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY') THEN u.name || '_u' ELSE u.name END AS name, u.gender
+        FROM user_info u JOIN customer ON c_custkey = u.id""",
     "order_with_province": f"""
         WITH {_ORDERS}, {_DIMS}
         SELECT o.id, o.province_id, p.name AS province_name, p.area_code AS province_area_code,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rtshop import fixtures as X
 from rtshop.functions import scalars
-from rtshop.operators import changes, dau, dims, logs, orders, sales, search
+from rtshop.operators import as_of, changes, dau, dims, logs, orders, sales, search
 from rtshop.plans.reports import ShopReports
 from rtshop.schemas import DAU_COLUMNS, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from rtshop.session import prepare, shared_dir
@@ -233,6 +234,36 @@ def order_with_user(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("id", "user_id", "total_amount", "user_age", "user_gender")
 
 
+@register
+def order_user_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Users change twice between orders; each order has the attributes of its arrival, its age on that day."""
+    records = X.timed_user_changes(X.table(spark, sf, "customer"))
+    log = changes.dim_changes(changes.row_changes(records), order=["timestamp", "partition", "offset"])
+    joined = as_of.with_user_as_of(_orders(spark, sf), log)
+    return joined.select("id", "user_id", "user_age", "user_gender")
+
+
+@register
+def snapshot_handoff(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot that was read before some changes and after others, and sent after all of them.
+
+    Two segments are updated after the snapshot's mark, a third one before it: only the first two keep the feed's name.
+    """
+    customer = X.table(spark, sf, "customer")
+    early = customer.filter(F.col("c_mktsegment") == "BUILDING").withColumn("c_mktsegment", F.lit("HOUSEHOLD"))
+    mark = datetime.datetime.fromisoformat(str(X.START)) + datetime.timedelta(hours=1)
+    moved = lambda records, hours: records.withColumn(
+        "timestamp", F.col("timestamp") + F.make_dt_interval(hours=F.lit(hours)))
+    feed = moved(X.dim_change_records(customer).filter("offset = 1"), 2)
+    old = moved(X.dim_change_records(early).filter("offset = 1"), 0)
+    snapshot = bootstrap_messages({"user_info": _users(spark, sf)}, X.DATABASE, ["user_info"], as_of={"user_info": mark})
+    sent = snapshot.select("key", "value", "topic", F.lit(0).alias("partition"), F.lit(10 ** 6).cast("bigint").alias("offset"),
+                           F.lit(X.START).cast("timestamp").alias("timestamp"))
+    records = feed.unionByName(old).unionByName(moved(sent, 9))
+    log = changes.dim_changes(changes.row_changes(records), order=["timestamp", "partition", "offset"])
+    return dims.dim_rows(log, "DIM_USER_INFO", ("id", "name", "gender"))
+
+
 @register
 def order_with_province(spark: SparkSession, sf: str) -> DataFrame:
     """J2, S5."""

@@ -33,6 +33,8 @@ CHANGE_ENVELOPE = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("pkNames", T.ArrayType(T.StringType())),
     T.StructField("data", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
+    # Of a snapshot: when its reading began, in epoch milliseconds.
+    T.StructField("as_of", T.LongType()),
     T.StructField(CORRUPT, T.StringType()),
 ])
 
