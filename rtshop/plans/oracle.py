@@ -157,6 +157,14 @@ routed AS (
   WHERE l_returnflag = 'R'
 )
 """
+_CORRECTED = _WIDE + """,
+corrected AS (
+  SELECT * REPLACE (CASE WHEN sku_num % 4 = 3 THEN 'green gizmo' ELSE sku_name END AS sku_name,
+                    CASE WHEN sku_num % 4 = 3 THEN 2 * split_total_amount ELSE split_total_amount END AS split_total_amount)
+  FROM order_wide
+),
+own AS (SELECT *, regexp_extract_all(lower(sku_name), '[a-z0-9]+') AS terms FROM corrected)
+"""
 _LOG_COLUMNS = "event_id, mid, uid, ar, ch, vc, has_page, last_page_id, ts, dt, hr"
 _NEAR = "epoch_us(d.arrived) - epoch_us(o.arrived) BETWEEN -600000000 AND 600000000"
 
@@ -305,6 +313,31 @@ ORACLE: dict[str, str] = {
           ('{S.GENDER_TITLE}', '{S.GENDER_FEMALE}'))
         SELECT l.title, l.name, {_percent("p.amount")} AS value
         FROM labels_ l LEFT JOIN parts p ON p.name = l.name LEFT JOIN whole w ON w.dt = '2024-01-10'""",
+    "sale_hits_index": f"""
+        WITH {_CORRECTED}
+        SELECT dt, detail_id, sku_name, sku_num, split_total_amount FROM own
+        WHERE dt = '2024-01-10' AND list_has_all(terms, ['red', 'widget'])""",
+    "sale_relevant_page": f"""
+        WITH {_CORRECTED},
+        day AS (SELECT detail_id, sku_name, terms FROM own WHERE dt = '2024-01-10' AND sku_name IS NOT NULL),
+        stats AS (SELECT count(*) AS n, avg(len(terms)) AS mean,
+                         count(*) FILTER (WHERE list_contains(terms, 'red')) AS red,
+                         count(*) FILTER (WHERE list_contains(terms, 'gizmo')) AS gizmo FROM day),
+        parts AS (
+          SELECT d.*, n, red, gizmo, 1.2 * (0.25 + 0.75 * len(terms) / mean) AS norm,
+                 CAST(len(list_filter(terms, lambda x: x = 'red')) AS DOUBLE) AS tf_red,
+                 CAST(len(list_filter(terms, lambda x: x = 'gizmo')) AS DOUBLE) AS tf_gizmo
+          FROM day d, stats WHERE list_has_any(terms, ['red', 'gizmo'])
+        )
+        SELECT detail_id, sku_name,
+               round(ln(1.0 + (n - gizmo + 0.5) / (gizmo + 0.5)) * tf_gizmo * 2.2 / (tf_gizmo + norm)
+                     + ln(1.0 + (n - red + 0.5) / (red + 0.5)) * tf_red * 2.2 / (tf_red + norm), 6) AS score
+        FROM parts ORDER BY score DESC, detail_id LIMIT 20 OFFSET 20""",
+    "sale_cube_kept": f"""
+        WITH {_CORRECTED}
+        SELECT dt, user_age, user_gender, count(*) AS cnt,
+               CAST(sum(CAST(split_total_amount AS DECIMAL(18,2))) AS DOUBLE) AS amount
+        FROM own WHERE list_has_all(terms, ['red', 'widget']) GROUP BY 1, 2, 3""",
     "stream_dau": f"""
         WITH {_DAU}
         SELECT * FROM dau

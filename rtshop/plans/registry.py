@@ -20,6 +20,7 @@ from rtshop.sources.bootstrap import bootstrap_messages
 from rtshop.sources.daily import daily_table, expire_days, rejected_table, roll_days
 from rtshop.sources.dim_store import changelog, changelog_reader, expire_dims, roll_dims
 from rtshop.sources.records import file_stream, record_table
+from rtshop.sources.search_index import indexed_hits, kept_cube, roll_index, save_indexed
 from rtshop.streaming.dau import run_dau
 from rtshop.streaming.order_wide import run_order_wide
 from rtshop.streaming.router import run_router
@@ -386,6 +387,48 @@ def report_sale_stat(spark: SparkSession, sf: str) -> DataFrame:
     return ShopReports(spark, "", folder).sale_detail(REPORT_DAY.replace("-", ""), KEYWORD).stat
 
 
+def _indexed_sales(spark: SparkSession, sf: str, name: str) -> ShopReports:
+    """Order-wide rows with their index after corrections: lines of odd numbers are renamed and doubled, some of those
+    set right again by a batch that is repeated. The index is rolled between."""
+    folder = _work_folder(spark, name)
+    # Computed once; rows of a day stand together, so that a save makes few files.
+    _wide(spark, sf).hint("rebalance", "dt").write.parquet(f"{folder}/rows")
+    wide = spark.read.parquet(f"{folder}/rows")
+    odd, back = F.col("sku_num") % 2 == 1, F.col("sku_num") % 4 == 1
+    save_indexed(wide, f"{folder}/wide", f"{folder}/index", 0)
+    renamed = wide.filter(odd).withColumns(
+        {"sku_name": F.lit("green gizmo"), "split_total_amount": 2 * F.col("split_total_amount")})
+    save_indexed(renamed, f"{folder}/wide", f"{folder}/index", 1)
+    for _ in range(2):
+        save_indexed(wide.filter(back), f"{folder}/wide", f"{folder}/index", 2)
+    roll_days(spark, f"{folder}/wide", ["detail_id"])
+    roll_index(spark, f"{folder}/wide", f"{folder}/index")
+    return ShopReports(spark, "", f"{folder}/wide", index=f"{folder}/index")
+
+
+@register
+def sale_hits_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A day's hits by postings, after corrections."""
+    reports = _indexed_sales(spark, sf, "sale_hits_index")
+    return indexed_hits(spark, reports.wide_table, reports.index, KEYWORD, REPORT_DAY).select(
+        "dt", "detail_id", "sku_name", "sku_num", "split_total_amount")
+
+
+@register
+def sale_relevant_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of a day's hits with any word of the keyword, in order of relevance."""
+    page = _indexed_sales(spark, sf, "sale_relevant_page").relevant_page(REPORT_DAY, "red gizmo", 2, 20, any_word=True)
+    return page.select("detail_id", "sku_name", "score")
+
+
+@register
+def sale_cube_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and amount by day, age and gender of a keyword, from sums that were kept through corrections."""
+    reports = _indexed_sales(spark, sf, "sale_cube_kept")
+    cube = kept_cube(spark, reports.index, keyword=KEYWORD)
+    return cube.withColumn("amount", F.col("amount").cast("double"))
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 FILES_PER_BATCH = 1000

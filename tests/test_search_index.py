@@ -1,0 +1,149 @@
+"""Postings, kept sums and relevance against scans of the day table."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from helpers import plan_of, rows_of
+from pyspark.sql import functions as F
+
+from rtshop.functions.text import matches_all, matches_any
+from rtshop.operators import relevance as R
+from rtshop.operators.sales import sale_cube
+from rtshop.plans.reports import ShopReports
+from rtshop.sources import search_index as I
+from rtshop.sources.daily import daily_table, expire_days, roll_days, saved_rows
+
+D1, D2 = "2024-01-10", "2024-01-11"
+SHAPE = ("dt string, detail_id long, sku_name string, user_age int, user_gender string, split_total_amount double, "
+         "offset long")
+WORDS = ["red", "blue", "widget", "gear", "漢", "big"]
+KEYWORDS = ["red", "red widget", "widget red", "RED big", "漢", "none", "", "blue blue gear"]
+
+
+def batch(spark, folder, number, rows, repeats=1):
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SHAPE)
+    for _ in range(repeats):
+        I.save_indexed(frame, f"{folder}/wide", f"{folder}/index", number)
+
+
+def random_rows(rnd, n, ids):
+    return [(rnd.choice([D1, D1, D2]), rnd.choice([None, *range(ids)]),
+             rnd.choice([None, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 4)))]),
+             rnd.choice([None, 19, 25, 40]), rnd.choice([None, "M", "F"]), rnd.choice([None, 1.25, 10.0])) for _ in range(n)]
+
+
+def test_index_equals_a_scan_through_saves_repeats_and_rolls(spark, folder):
+    rnd = random.Random(3)
+    batch(spark, folder, 0, random_rows(rnd, 60, 30))
+    batch(spark, folder, 1, random_rows(rnd, 40, 30), repeats=2)
+    # A batch that is repeated with other rows: what it had taken back comes again.
+    batch(spark, folder, 2, random_rows(rnd, 50, 40))
+    batch(spark, folder, 2, random_rows(rnd, 20, 40))
+    for step in ("saved", "rolled", "later", "expired"):
+        if step == "rolled":
+            roll_days(spark, f"{folder}/wide", ["detail_id"])
+            I.roll_index(spark, f"{folder}/wide", f"{folder}/index")
+        if step == "later":
+            batch(spark, folder, 3, random_rows(rnd, 20, 40))
+        if step == "expired":
+            roll_days(spark, f"{folder}/wide", ["detail_id"])
+            I.roll_index(spark, f"{folder}/wide", f"{folder}/index")
+            expire_days(spark, f"{folder}/wide", keep=1)
+            I.expire_index(spark, f"{folder}/index", keep=1)
+        table = daily_table(spark, f"{folder}/wide", ["detail_id"])
+        assert rows_of(I.kept_cube(spark, f"{folder}/index")) == rows_of(zero(sale_cube(table)))
+        for keyword in KEYWORDS if step in ("saved", "later") else KEYWORDS[:2]:
+            for any_word in (False, True):
+                wanted = table.filter((matches_any if any_word else matches_all)(F.col("sku_name"), keyword))
+                want = rows_of(wanted.filter(F.col("dt") == D1), "detail_id", "sku_name", "split_total_amount")
+                got = I.indexed_hits(spark, f"{folder}/wide", f"{folder}/index", keyword, D1, any_word)
+                assert rows_of(got, "detail_id", "sku_name", "split_total_amount") == want
+        cube = I.kept_cube(spark, f"{folder}/index", D1, keyword="red widget")
+        assert rows_of(cube) == rows_of(zero(sale_cube(table.filter((F.col("dt") == D1) & matches_all(F.col("sku_name"), "red widget")))))
+
+
+def zero(cube):
+    """A sum over nothing but nulls is 0 among kept sums."""
+    return cube.withColumn("amount", F.coalesce("amount", F.lit(0)))
+
+
+def test_many_hits_are_joined(spark, folder, monkeypatch):
+    monkeypatch.setattr(I, "NAMED_KEYS", 3)
+    batch(spark, folder, 0, [(D1, i, "red gear", 20, "M", 1.0) for i in range(20)] + [(D1, None, "red", 20, "M", 1.0)])
+    assert I.indexed_hits(spark, f"{folder}/wide", f"{folder}/index", "red", D1).count() == 21
+
+
+def test_a_search_reads_postings_and_its_hits_only(spark, folder):
+    rows = [(D1, i, f"word{i % 500:03d} common", 20, "M", 1.0) for i in range(3000)]
+    batch(spark, folder, 0, rows)
+    batch(spark, folder, 1, rows[:1])
+    roll_days(spark, f"{folder}/wide", ["detail_id"])
+    I.roll_index(spark, f"{folder}/wide", f"{folder}/index")
+    found = I.indexed_hits(spark, f"{folder}/wide", f"{folder}/index", "word007", D1)
+    assert rows_of(found, "detail_id") == sorted([(i,) for i in range(7, 3000, 500)], key=repr)
+    assert "PushedFilters: [In(detail_id" in plan_of(found)
+    lists = saved_rows(spark, f"{folder}/index/postings", D1).filter(F.col("term").isin("word007"))
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,word007)]" in plan_of(lists)
+
+
+def test_sums_of_an_id_saved_anew_are_taken_back(spark, folder):
+    batch(spark, folder, 0, [(D1, 1, "red widget", 20, "M", 10.0), (D1, 2, "red gear", 20, "M", 5.0)])
+    batch(spark, folder, 1, [(D1, 1, "blue widget", 30, "F", 7.0)], repeats=2)
+    cube = lambda keyword: rows_of(I.kept_cube(spark, f"{folder}/index", D1, keyword=keyword), "user_age", "cnt", "amount")
+    assert [(a, n, float(x)) for a, n, x in cube("red")] == [(20, 1, 5.0)]
+    assert [(a, n, float(x)) for a, n, x in cube("widget")] == [(30, 1, 7.0)]
+    assert len(cube("red widget")) == 0
+
+
+def bm25(docs, query):
+    n, mean = len(docs), sum(len(w) for _, w in docs) / len(docs)
+    scores = []
+    for key, own in docs:
+        score = 0.0
+        for term in set(query):
+            df = sum(term in w for _, w in docs)
+            tf = own.count(term)
+            score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        scores.append((key, round(score, 6)))
+    return sorted([(k, s) for (k, s), (_, own) in zip(scores, docs) if set(query) & set(own)], key=lambda r: (-r[1], r[0]))
+
+
+def test_pages_in_order_of_relevance(spark, folder):
+    rnd = random.Random(6)
+    rows = [(D1, i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 5))), 20, "M", 1.0) for i in range(80)]
+    batch(spark, folder, 0, rows)
+    batch(spark, folder, 1, [(D1, 3, "red red red big", 20, "M", 1.0), (D1, 4, "gear", 20, "M", 1.0)])
+    names = {r[1]: r[2] for r in rows} | {3: "red red red big", 4: "gear"}
+    want = bm25([(k, v.split()) for k, v in sorted(names.items())], ["red", "big"])
+    reports = ShopReports(spark, "", f"{folder}/wide", index=f"{folder}/index")
+    got = []
+    for page in range(1, 9):
+        got += [(r["detail_id"], r["score"]) for r in reports.relevant_page(D1, "red Big", page, 10, any_word=True).collect()]
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+    with pytest.raises(ValueError):
+        reports.relevant_page(D1, "red", 0)
+    with pytest.raises(ValueError):
+        ShopReports(spark, "", f"{folder}/wide").relevant_page(D1, "red")
+
+
+def test_reports_over_an_index_equal_those_over_rows(spark, folder):
+    rnd = random.Random(9)
+    batch(spark, folder, 0, [r for r in random_rows(rnd, 80, 60) if r[1] is not None])
+    plain, indexed = (ShopReports(spark, "", f"{folder}/wide", index=i) for i in (None, f"{folder}/index"))
+    for keyword in ("red", "red widget", "none"):
+        one, two = plain.sale_detail(D1, keyword), indexed.sale_detail(D1, keyword)
+        assert rows_of(one.total) == rows_of(two.total) and rows_of(one.stat) == rows_of(two.stat)
+        assert rows_of(one.detail, "detail_id") == rows_of(two.detail, "detail_id")
+
+
+def test_statistics_of_nothing(spark):
+    none = spark.createDataFrame([], "sku_name string, cnt long")
+    stats = R.term_stats(none, "sku_name", ["red"])
+    assert stats == (0, 0.0, {"red": 0})
+    rows = spark.createDataFrame([(1, "red")], "detail_id long, sku_name string")
+    assert R.ranked_page(rows, stats).first()["score"] == 0.0
+    assert R.query_words(spark, " - ") == []
