@@ -191,3 +191,13 @@ def timed_user_changes(customer: DataFrame) -> DataFrame:
                                               lambda m: m.isNotNull())).alias("m"))
     return sent.select(F.lit(None).cast("string").alias("key"), "m.value", F.lit("ODS_BASE_DB_C").alias("topic"),
                        F.lit(0).alias("partition"), "m.offset", "m.timestamp")
+
+
+def insert_envelopes(rows: DataFrame, name: str) -> DataFrame:
+    """Typed rows as inserts of a change log, a message for each row, with the arrival of the row."""
+    payload = [(c, F.col(c).cast("decimal(18,2)") if kind == "double" else F.col(c))
+               for c, kind in rows.dtypes if c not in ("timestamp", "create_date", "create_hour")]
+    row = F.map_filter(_texts(**dict(payload)), lambda _, cell: cell.isNotNull())
+    return rows.select(F.lit(None).cast("string").alias("key"), _envelope(name, "INSERT", row).alias("value"),
+                       F.lit("ODS_BASE_DB_C").alias("topic"), F.lit(0).alias("partition"),
+                       F.col("id").cast("bigint").alias("offset"), "timestamp")

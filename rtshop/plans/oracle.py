@@ -373,4 +373,14 @@ ORACLE: dict[str, str] = {
         SELECT {_WIDE_COLUMNS}
         FROM order_detail d JOIN order_info o ON o.id = d.order_id AND {_NEAR}
         LEFT JOIN user_info u ON u.id = o.user_id LEFT JOIN base_province p ON p.id = o.province_id""",
+    "stream_chain": f"""
+        WITH {_FACTS}
+        SELECT o.create_date AS dt, d.id AS detail_id, d.order_id, d.sku_name, d.split_total_amount, {_AGE} AS user_age,
+               u.gender AS user_gender, p.name AS province_name
+        FROM order_detail d JOIN order_info o ON o.id = d.order_id AND {_NEAR}
+        LEFT JOIN user_info u ON u.id = o.user_id LEFT JOIN base_province p ON p.id = o.province_id""",
+    "stream_progress": f"""
+        WITH {_DAU}
+        SELECT 'dau' AS job, (SELECT count(*) FROM log) AS input_rows, CAST(0 AS BIGINT) AS gaps,
+               CAST(0 AS BIGINT) AS refused""",
 }

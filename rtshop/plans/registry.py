@@ -6,7 +6,7 @@ import datetime
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rtshop import fixtures as X
@@ -15,7 +15,7 @@ from rtshop.operators import as_of, changes, dau, dims, logs, orders, sales, sea
 from rtshop.plans.reports import ShopReports
 from rtshop.schemas import DAU_COLUMNS, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from rtshop.session import prepare, shared_dir
-from rtshop.sinks.batches import save_daily, with_partition
+from rtshop.sinks.batches import save_daily, topic_folder, with_partition
 from rtshop.sources.bootstrap import bootstrap_messages
 from rtshop.sources.daily import daily_table, expire_days, rejected_table, roll_days
 from rtshop.sources.dim_store import changelog, changelog_reader, expire_dims, roll_dims
@@ -24,6 +24,7 @@ from rtshop.sources.search_index import indexed_hits, kept_cube, roll_index, sav
 from rtshop.streaming.dau import run_dau
 from rtshop.streaming.order_wide import run_order_wide
 from rtshop.streaming.router import run_router
+from rtshop.streaming.runtime import await_job, progress_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -639,3 +640,46 @@ def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
         # The dimensions are rolled while the job's tables stay as they are: later spans read the base.
         roll_dims(spark, f"{folder}/dims")
     return daily_table(spark, f"{folder}/wide", ["detail_id"])
+
+
+@register
+def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """One change feed of orders and details, routed to topics by one job and joined by the next."""
+    folder = _work_folder(spark, "stream_chain")
+    feed = X.insert_envelopes(_orders(spark, sf), "order_info").unionByName(
+        X.insert_envelopes(_details(spark, sf), "order_detail"))
+    dimensions = bootstrap_messages({"user_info": _users(spark, sf), "base_province": _provinces(spark, sf)}, X.DATABASE)
+    feed.unionByName(dimensions.select("key", "value", "topic", F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"),
+                                       F.lit(X.START).cast("timestamp").alias("timestamp"))).write.parquet(f"{folder}/in")
+    await_job(run_router(file_stream(spark, f"{folder}/in", FILES_PER_BATCH), f"{folder}/topics", f"{folder}/dims",
+                         f"{folder}/router", interval=None))
+    users = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", ("id", "birthday", "gender"))
+    provinces = changelog_reader(f"{folder}/dims", "DIM_BASE_PROVINCE", ("id", "name", "area_code", "iso_code", "iso_3166_2"))
+    topics = [file_stream(spark, topic_folder(f"{folder}/topics", f"DWD_{name}_I"), FILES_PER_BATCH)
+              for name in ("ORDER_INFO", "ORDER_DETAIL")]
+    await_job(run_order_wide(*topics, users, provinces, f"{folder}/wide", f"{folder}/checkpoint", as_of=X.AS_OF, interval=None,
+                             partitions=_state_partitions(spark)))
+    return daily_table(spark, f"{folder}/wide", ["detail_id"]).select(
+        "dt", "detail_id", "order_id", "sku_name", "split_total_amount", "user_age", "user_gender", "province_name")
+
+
+@register
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """A job's own account of its batches over three starts: messages taken, batches that do not begin where the
+    one before ended, rows refused for being late."""
+    folder = _work_folder(spark, "stream_progress")
+    records = X.log_records(X.table(spark, sf, "events"))
+    low, high = records.agg(F.min("timestamp"), F.max("timestamp")).first()
+    span = F.floor((F.unix_micros("timestamp") - F.unix_micros(F.lit(low))) * SPANS / (
+        F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1))
+    for part in range(SPANS):
+        records.filter(span == part).write.mode("append").parquet(f"{folder}/in")
+        await_job(run_dau(file_stream(spark, f"{folder}/in", FILES_PER_BATCH), f"{folder}/dau", f"{folder}/checkpoint",
+                          interval=None, partitions=_state_partitions(spark), progress=f"{folder}/progress"))
+    lines = progress_table(spark, f"{folder}/progress")
+    order = Window.partitionBy("job").orderBy("batch")
+    ends = F.lag(F.get("offsets", F.lit(0))["end"]).over(order)
+    start = F.get("offsets", F.lit(0))["start"]
+    told = lines.withColumn("gap", (F.coalesce(ends, F.lit("null")) != start).cast("int"))
+    return told.groupBy("job").agg(F.sum("input_rows").alias("input_rows"), F.sum("gap").cast("long").alias("gaps"),
+                                   F.sum("refused").alias("refused"))

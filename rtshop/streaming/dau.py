@@ -38,11 +38,11 @@ def dau_stream(records: DataFrame, strict: bool = False, seen_for: str = SEEN_FO
 
 def run_dau(records: DataFrame, table: str, checkpoint: str, interval: str | None = "5 seconds",
             strict: bool = False, partitions: int | None = None, seen_for: str = SEEN_FOR,
-            rejects: str | None = None) -> StreamingQuery:
+            rejects: str | None = None, progress: str | None = None) -> StreamingQuery:
     """K5: keep the day table of active devices; its key is ``mid``, and the first save of a key is the one to read.
 
-    ``rejects`` is a folder for records that cannot be read or name no device.
+    ``rejects`` is a folder for records that cannot be read or name no device, ``progress`` one for lines about batches.
     """
     keep_rejects(rejected_devices(records), rejects, checkpoint, "dau", interval)
     return start_job(dau_stream(records, strict, seen_for), lambda batch, batch_id: save_daily(batch, table, batch_id),
-                     checkpoint, "dau", interval, partitions, mode="update", strict=strict)
+                     checkpoint, "dau", interval, partitions, mode="update", strict=strict, progress=progress)

@@ -14,7 +14,8 @@ from rtshop.sources.records import file_stream, record_table
 from rtshop.streaming.dau import dau_stream, run_dau
 from rtshop.streaming.order_wide import run_order_wide
 from rtshop.streaming.router import run_router
-from rtshop.streaming.runtime import dropped_rows, offset_ranges, start_job, state_rows
+from rtshop.streaming.runtime import (
+    await_job, dropped_rows, held_state, offset_ranges, progress_table, start_job, state_rows)
 
 AS_OF = "2024-01-10"
 USER, PROVINCE = ("id", "birthday", "gender"), ("id", "name", "area_code", "iso_code", "iso_3166_2")
@@ -270,3 +271,33 @@ def test_change_feed_to_order_wide(spark, records, write_file, folder):
     order_job(spark, folder, salt=1)
     assert rows_of(daily_table(spark, f"{folder}/wide", ["detail_id"]), "detail_id", "split_total_amount", "user_age",
                    "province_name", "order_status") == [(10, 5.0, 34, "north", None), (11, 7.5, 34, "north", None)]
+
+
+def late_messages(records, write_file, folder):
+    """Three batches; the last one comes too late for the state."""
+    for mid, seconds in (("a", 10 * 86400), ("c", 10 * 86400 + 1), ("b", 0)):
+        write_file(records([(log_message(mid, at(seconds)), seconds)]), f"{folder}/in")
+
+
+def test_losses_of_the_last_batch_are_told_once(spark, records, write_file, folder, caplog):
+    late_messages(records, write_file, folder)
+    run = lambda name, **how: run_dau(file_stream(spark, f"{folder}/in", 1), f"{folder}/{name}", f"{folder}/{name}_c",
+                                      interval=None, seen_for="1 hour", progress=f"{folder}/{name}_p", **how)
+    assert await_job(run("plain"))
+    assert [r.getMessage() for r in caplog.records if "later than" in r.getMessage()] == [
+        "dau: batch 2, 1 rows came later than the watermark allows"]
+    lines = rows_of(progress_table(spark, f"{folder}/plain_p"), "job", "batch", "input_rows", "refused")
+    assert lines == [("dau", 0, 1, 0), ("dau", 1, 1, 0), ("dau", 2, 1, 1)]
+    with pytest.raises(RuntimeError, match="1 rows came later"):
+        await_job(run("strict", strict=True))
+
+
+def test_what_a_job_holds_can_be_read(spark, records, write_file, folder):
+    for minute in range(3):
+        write_file(logs_of(records, ("a", 60 * minute, "first"), (f"m{minute}", 60 * minute, "first")), f"{folder}/in")
+        await_job(run_dau(file_stream(spark, f"{folder}/in"), f"{folder}/dau", f"{folder}/checkpoint", interval=None,
+                          progress=f"{folder}/progress"))
+    assert rows_of(held_state(spark, f"{folder}/checkpoint").select("key.mid")) == [("a",), ("m0",), ("m1",), ("m2",)]
+    lines = sorted(progress_table(spark, f"{folder}/progress").collect(), key=lambda r: r["batch"])
+    assert [(r["batch"], r["input_rows"], r["state_rows"]) for r in lines] == [(0, 2, 2), (1, 2, 3), (2, 2, 4)]
+    assert all(b["offsets"][0]["start"] == a["offsets"][0]["end"] for a, b in zip(lines, lines[1:]))
