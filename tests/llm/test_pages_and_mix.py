@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -71,6 +72,91 @@ def test_tokens_with_one_vector_are_one_class(spark):
     assert [sorted(s) for s in sizes] == [["article", "body", "nav"], ["ul"]]
 
 
+def texts_of(spark, *bodies, host="h", clash=False):
+    """Texts of pages of one host, in order."""
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", b) for i, b in enumerate(bodies)], PAGES).repartition(3)
+    if clash:
+        df = df.withColumns({c: F.lit("own") for c in ("host", "main", "named", "texts", "flat", "llm_host", "page", "token")})
+    got = html_template.extract(df).collect()
+    assert not clash or {r[c] for r in got for c in ("host", "main", "named", "texts", "flat", "llm_host")} == {"own"}
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+LONG = "long " * 40
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 12])
+def test_class_words_of_wrappers_lose_nothing(spark, n):
+    """State classes, wrappers of the page, compound names: however many pages there are."""
+    layouts = [
+        ("<div class='page with-menu'><p>{0}</p></div>", "{0}"),
+        ("<body class='has-sidebar'><article class='post comments-open'><p>{0}</p></article></body>", "{0}"),
+        ("<div id='content-banner-wrap'><article>{0}</article></div>", "{0}"),
+        ("<div class='banner'><div class='menu-wrap'><p>{0}</p><p>two {0}</p></div></div>", "{0} two {0}"),
+        ("<article><p>{0}</p><section class='related-work'><p>Earlier {0}</p></section></article>", "{0} Earlier {0}"),
+        ("<div class=wrap><h1>Head {0}</h1><div class=content><p>{0}</p></div></div>", "Head {0} {0}"),
+        ("<article class=lead>Lead {0}</article><div><article class=body>{0}</article></div>", "Lead {0} {0}"),
+        ("<main class='widget'><div class=ad>Buy</div>{0}</main><div class='share-buttons'>x</div>", "{0}"),
+    ]
+    for k, (layout, want) in enumerate(layouts):
+        stories = [f"story {i} {LONG}".strip() for i in range(n)]
+        assert texts_of(spark, *[layout.format(s) for s in stories], host=f"h{k}") == [want.format(s) for s in stories]
+
+
+def test_classes_stand_or_fall_together(spark):
+    """A text that comes with an element of the layout goes; one that pages share by chance stays."""
+    stories = [f"Story {i} {LONG}".strip() for i in range(10)]
+    bodies = [f"<div id=top>Welcome</div>{'<div class=hint><p>Offer of the week</p></div>' if i < 7 else ''}"
+              f"<div class=text><h2>Introduction</h2>{s}{'<p>The end</p>' if i % 5 else ''}</div>" for i, s in enumerate(stories)]
+    got = texts_of(spark, *bodies, clash=True)
+    # The heading is on all pages, as the layout is; the last line on eight of ten, as nothing else is.
+    assert got == [f"{s} The end" if i % 5 else s for i, s in enumerate(stories)]
+    # A host too small for a template keeps all.
+    assert texts_of(spark, *bodies[:2], host="few") == [
+        f"Welcome Offer of the week Introduction {s}{' The end' if i % 5 else ''}" for i, s in enumerate(stories[:2])]
+
+
+def test_articles_that_all_pages_share_are_no_article(spark):
+    same = "<div class=side><article class=teaser>Read our book</article></div>"
+    stories = [f"Story {i} {LONG}".strip() for i in range(6)]
+    assert texts_of(spark, *[f"{same}<div><article class=post>{s}</article></div>" for s in stories]) == stories
+    # Copies of one page are no template, named or not.
+    assert texts_of(spark, *["<article class=a>One</article>"] * 6, host="c") == ["One"] * 6
+    assert texts_of(spark, *["<div><p>Two</p></div>"] * 6, host="d") == ["Two"] * 6
+
+
+def test_menus_of_links_are_left_out(spark):
+    menu = "<ul><li><a href=/a>Alpha</a><li><a href=/b>Beta</a></ul>"
+    assert texts_of(spark, f"{menu}<div>Text with <a href=/c>a link</a> {LONG}</div>") == [f"Text with a link {LONG}".strip()]
+    assert texts_of(spark, menu) == ["Alpha Beta"]
+
+
+def brute_template(pages):
+    """Texts that the template of a host takes, by vectors written out: of classes with an element, on half of the pages."""
+    counts = [html_template.page_tokens(p) for p in pages]
+    classes = {}
+    for token in {t for c in counts for t in c}:
+        vector = tuple(c[token][4] if token in c else 0 for c in counts)
+        label = next(c[token][1] for c in counts if token in c)
+        classes.setdefault(vector, []).append((token, label))
+    taken = set()
+    for vector, tokens in classes.items():
+        if sum(n > 0 for n in vector) * 2 >= len(pages) and any(label is not None for _, label in tokens):
+            taken |= {t for t, label in tokens if label is None}
+    return taken
+
+
+def test_templates_equal_those_of_written_out_vectors(spark):
+    rnd = random.Random(2)
+    parts = ["<div class=a>Same</div>", "<div class=b><p>Note</p><p>Well</p></div>", "<section>Now</section>", "<p>Loose</p>",
+             "<div class=a>Same</div>", "<main><p>Main</p></main>"]
+    hosts = {h: ["<body>" + "".join(p for p in parts if rnd.random() < 0.8) + f"<div>own {i}</div></body>" for i in range(9)]
+             for h in ("x", "y", "z")}
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for h, own in hosts.items() for i, p in enumerate(own)], PAGES)
+    got = {r["host"]: set(r["texts"]) for r in html_template.templates(df).collect()}
+    assert got == {h: brute_template(own) for h, own in hosts.items()} and all(got.values())
+
+
 # --- URLs ---------------------------------------------------------------------------------------------------------
 
 def test_rules_of_the_sample(spark):
