@@ -89,10 +89,14 @@ def with_lexical(urls: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH,
                 keep: list[str] | None = None) -> DataFrame:
-    """Add ``host, path, rule, verdict`` to ``pages``, and ``p_block`` where the model judged."""
+    """Add ``host, path, rule, verdict`` to ``pages``, and ``p_block`` where the model judged.
+
+    Kept columns travel as one, so they may have any names but those of the results, which replace them.
+    """
     made = ("host", "path", "rule", "verdict", "p_block")
     kept = [c for c in (pages.columns if keep is None else keep) if c not in made]
-    urls = (pages.select(*dict.fromkeys([*kept, "url"])).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(0)
+    urls = (pages.select(row.alias("llm_row"), "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
             .withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)))
     # Each labelled url once: a url that repeats is one row a task before the shuffle.
     labelled = staged(urls.filter("fit is not null").groupBy("url").agg(
@@ -109,7 +113,7 @@ def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int
             judged = _judge(urls, with_lexical(labelled), train, blocked / n, trees, depth)
         finally:
             train.unpersist()
-    return judged.select(*kept, "host", "path", F.col("fit.rule").alias("rule"), "verdict", "p_block")
+    return judged.select(*[F.col("llm_row")[c].alias(c) for c in kept], "host", "path", F.col("fit.rule").alias("rule"), "verdict", "p_block")
 
 
 def fitted(labelled: DataFrame, n: int, blocked: int, sample: int) -> DataFrame:

@@ -173,6 +173,16 @@ def test_rules_of_the_sample(spark):
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
 
 
+def test_urls_with_columns_of_any_name(spark):
+    names = ("fit", "seen", "bad", "s", "prediction", "probability", "rawPrediction", "suffix1", "u_depth", "u_features", "label",
+             "llm_row", "a b")
+    pages = spark.read.parquet(f"{SAMPLE}/pages.parquet").select("page_id", "url")
+    got = url_filter.filter_urls(pages.withColumns({n: F.lit("own") for n in names}))
+    assert got.columns == ["page_id", "url", *names, "host", "path", "rule", "verdict", "p_block"]
+    assert {r[n] for r in got.collect() for n in names} == {"own"}
+    assert rows(got, "page_id", "verdict") == rows(url_filter.filter_urls(pages), "page_id", "verdict")
+
+
 def test_odd_urls(spark):
     urls = [None, "", "a/b", "http://A.ORG", "http://a.org/", "HTTP://x.EXAMPLE.org/en/1?q=/", "http://xexample.org/es/#a",
             "://com/fr/", "http://a.com/de/\n?x", "http://é.com/de/" + "x" * 5000, "http://a://b.org/"]
