@@ -317,6 +317,10 @@ ORACLE: dict[str, str] = {
         WITH {_CORRECTED}
         SELECT dt, detail_id, sku_name, sku_num, split_total_amount FROM own
         WHERE dt = '2024-01-10' AND list_has_all(terms, ['red', 'widget'])""",
+    "sale_page_index": f"""
+        WITH {_CORRECTED}
+        SELECT dt, detail_id, sku_name, sku_num, split_total_amount FROM own
+        WHERE dt = '2024-01-10' AND list_contains(terms, 'gizmo') ORDER BY detail_id LIMIT 20 OFFSET 40""",
     "sale_relevant_page": f"""
         WITH {_CORRECTED},
         day AS (SELECT detail_id, sku_name, terms FROM own WHERE dt = '2024-01-10' AND sku_name IS NOT NULL),

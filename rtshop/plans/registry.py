@@ -415,6 +415,13 @@ def sale_hits_index(spark: SparkSession, sf: str) -> DataFrame:
         "dt", "detail_id", "sku_name", "sku_num", "split_total_amount")
 
 
+@register
+def sale_page_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows 41 to 60 of a day's hits in order of id, found by kept counts of id ranges, after corrections."""
+    detail = _indexed_sales(spark, sf, "sale_page_index").table_page(40, 20, REPORT_DAY, "gizmo").detail
+    return detail.select("dt", "detail_id", "sku_name", "sku_num", "split_total_amount")
+
+
 @register
 def sale_relevant_page(spark: SparkSession, sf: str) -> DataFrame:
     """The second page of a day's hits with any word of the keyword, in order of relevance."""

@@ -140,6 +140,54 @@ def test_reports_over_an_index_equal_those_over_rows(spark, folder):
         assert rows_of(one.detail, "detail_id") == rows_of(two.detail, "detail_id")
 
 
+def ids(page):
+    return [(r["detail_id"], r["sku_name"]) for r in page.collect()]
+
+
+def test_pages_by_kept_counts_equal_pages_of_the_hits(spark, folder, monkeypatch):
+    monkeypatch.setattr(I, "RANGE_BITS", 2)
+    monkeypatch.setattr(I, "GROUP_BITS", 1)
+    rnd = random.Random(11)
+    low = [(d, None if i is None else i - 20, *rest) for d, i, *rest in random_rows(rnd, 80, 60)]
+    batch(spark, folder, 0, low)
+    batch(spark, folder, 1, random_rows(rnd, 30, 60), repeats=2)
+    batch(spark, folder, 2, [(D1, None, "red", 20, "M", 1.0)])
+    for step in ("saved", "rolled"):
+        if step == "rolled":
+            roll_days(spark, f"{folder}/wide", ["detail_id"])
+            I.roll_index(spark, f"{folder}/wide", f"{folder}/index")
+        table = daily_table(spark, f"{folder}/wide", ["detail_id"], D1)
+        for keyword in ("red", "none") if step == "saved" else ("red",):
+            hits = sorted(ids(table.filter(matches_all(F.col("sku_name"), keyword))), key=lambda r: (r[0] is None, r))
+            for page in range(1, len(hits) // 12 + 3):
+                got = ids(I.indexed_page(spark, f"{folder}/wide", f"{folder}/index", keyword, D1, page, 12))
+                assert got == hits[12 * page - 12:12 * page], (keyword, page)
+    with pytest.raises(ValueError):
+        I.indexed_page(spark, f"{folder}/wide", f"{folder}/index", "red", D1, 0)
+
+
+def test_a_far_page_reads_its_range_of_ids_only(spark, folder):
+    batch(spark, folder, 0, [(D1, i, "red gear" if i % 2 else "blue", 20, "M", 1.0) for i in range(40_000)])
+    batch(spark, folder, 1, [(D1, 1, "blue", 20, "M", 1.0)])
+    roll_days(spark, f"{folder}/wide", ["detail_id"])
+    I.roll_index(spark, f"{folder}/wide", f"{folder}/index")
+    page = I.indexed_page(spark, f"{folder}/wide", f"{folder}/index", "red", D1, 1501, 10)
+    # The hits are 3, 5, 7 ...; a range holds 8192 ids.
+    assert [k for k, _ in ids(page)] == list(range(30_003, 30_023, 2))
+    assert "GreaterThanOrEqual(detail_id,24576), LessThanOrEqual(detail_id,32767)" in plan_of(page)
+    counts = saved_rows(spark, f"{folder}/index/ranges", D1)
+    assert counts.count() <= 2 * 5 + 2
+
+
+def test_a_batch_repeated_without_rows_leaves_nothing_behind(spark, folder):
+    rows = [(D1, i, "red gear", 20, "M", 1.0) for i in range(5)]
+    batch(spark, folder, 0, rows)
+    batch(spark, folder, 1, [(D1, 9, "red", 20, "M", 1.0)])
+    batch(spark, folder, 1, [])
+    assert [k for k, _ in ids(I.indexed_page(spark, f"{folder}/wide", f"{folder}/index", "red", D1))] == [0, 1, 2, 3, 4]
+    assert [r["cnt"] for r in I.kept_cube(spark, f"{folder}/index", D1, keyword="red").collect()] == [5]
+
+
 def test_statistics_of_nothing(spark):
     none = spark.createDataFrame([], "sku_name string, cnt long")
     stats = R.term_stats(none, "sku_name", ["red"])
