@@ -158,12 +158,18 @@ def licenses(rows, templates, share=0.8):
         return [tuple(own[i:i + 5]) for i in range(len(own) - 4)]
 
     known = [(name, set(shingles(t)), len(shingles(t))) for name, t in templates]
+    apart = [[wanted - other for of, other, _ in known if of != name and share <= len(wanted & other) / len(wanted) < 1]
+             for name, wanted, _ in known]
     out = set()
     for d, text in rows:
         own = shingles(text)
-        for name, wanted, n in known:
+        every = set(own)
+        for (name, wanted, n), differences in zip(known, apart):
+            if len(wanted & every) < share * len(wanted):
+                continue
             for k in range(max(1, len(own) - n + 1)):
-                if len(wanted & set(own[k:k + n])) >= share * len(wanted):
+                part = set(own[k:k + n])
+                if len(wanted & part) >= share * len(wanted) and all(x & part for x in differences):
                     out.add((d, name))
                     break
     return out

@@ -302,6 +302,23 @@ def test_quality_rules_and_licenses_run_no_python(spark):
 
 # --- Licenses -----------------------------------------------------------------------------------------------------
 
+def test_licenses_that_differ_in_a_word_are_told_apart(documents):
+    long = ("you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
+            "Foundation, either version {} of the License, or (at your option) any later version. It comes without warranty.")
+    given = [(1, long.format("General Public License", 2)), (2, long.format("General Public License", 3)),
+             (3, long.format("Lesser General Public License", "2.1")), (4, long.format("Affero General Public License", 3)),
+             (5, "The text is licensed under CC BY-SA 4.0."), (6, "All of it is released under CC BY 3.0, they say."),
+             (7, "Distributed under the GNU General Public License, version 2."), (8, "Licensed under a Creative Commons licence."),
+             (9, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+             (10, "It is published under the BSD 3-Clause License"), (11, "Released under CC0 1.0 or, if you like, licensed "
+              "under the MIT License."), (12, "This is free and unencumbered software released into the public domain. Anyone "
+              "is free to copy, modify, print, use, compile, sell, or distribute this software")]
+    want = {1: {"GPL-2.0"}, 2: {"GPL-3.0"}, 3: {"LGPL-2.1"}, 4: {"AGPL-3.0"}, 5: {"CC-BY-SA-4.0"}, 6: {"CC-BY-3.0"},
+            7: {"GPL-2.0"}, 9: {"CC-BY-ND-4.0"}, 10: {"BSD-3-Clause"}, 11: {"CC0-1.0", "MIT"}}
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(documents(given)).collect()}
+    assert got == {(d, name) for d, names in want.items() for name in names} == brute.licenses(given, licenses.TEMPLATES)
+
+
 def test_licenses_of_the_sample(spark, sample):
     got = queries.op10_licenses(spark, SAMPLE)
     assert {(r["doc_id"], r["license"]) for r in got.collect()} == brute.licenses(sample, licenses.TEMPLATES)
