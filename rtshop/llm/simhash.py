@@ -184,5 +184,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     winners = winners.select(key(F.col("w.doc_id"), F.col("w.llm_tie")).alias("llm_key"))
     rows = docs.select(F.struct(*docs.columns).alias("llm_row"),
                        key(F.col("doc_id"), F.xxhash64("text")).alias("llm_key"))
-    # Equal ids with equal texts are one document; the join has already brought them together.
-    return rows.join(winners, "llm_key").groupBy("llm_key").agg(F.first("llm_row").alias("r")).select("r.*")
+    # Equal ids with equal texts are one document. Each task keeps one of them before texts are shuffled, so copies of any
+    # number never meet in one task.
+    once = rows.groupBy("llm_key").agg(F.first("llm_row").alias("r"))
+    return once.join(winners, "llm_key", "left_semi").select("r.*")
