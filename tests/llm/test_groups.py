@@ -65,17 +65,6 @@ def test_classes_without_ids_or_with_equal_ids_each_keep_a_row(documents):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-def test_copies_without_an_id_are_combined_before_texts_move(documents):
-    copy = " ".join(f"word{i}" for i in range(60))
-    given = [(None, copy)] * 1000 + [(i, " ".join(f"own{i * 97 + k}" for k in range(40))) for i in range(200)]
-    kept = simhash.one_of_each(documents(given))
-    assert sorted(r["text"] for r in kept.collect()) == sorted({text for _, text in given})
-    plan = kept._jdf.queryExecution().sparkPlan().toString()
-    # Each task keeps one row of a key before the exchange; the join comes after it.
-    assert plan.index("LeftSemi") < plan.index("first(llm_row") < plan.index("partial_first(llm_row")
-
-
-
 # --- URLs ---------------------------------------------------------------------------------------------------------
 
 def test_suffixes_count_beyond_the_sample_and_copies_do_not_fill_it(spark):
