@@ -230,9 +230,22 @@ def test_longest_matches_and_their_places(spark, documents):
     assert [tuple(m) for m in df.first()["matches"]] == [("7", 5, 2, 20)]
 
 
-def test_a_large_benchmark_raises(spark):
-    with pytest.raises(ValueError):
-        decontaminate.read_benchmark(spark.createDataFrame([(1, "x" * 100)], "item_id long, text string"), most_bytes=99)
+def test_a_benchmark_in_parts_finds_the_same(spark, documents, odd):
+    long = " ".join(f"w{i}" for i in range(90))
+    items = [(1, long), (2, "Short item"), (3, None), (None, "no id here"), (1, "w3 w4 w5"), (5, long), (5, long)]
+    given = odd + [(20, "x " + long.upper() + " y"), (20, "x " + long.upper() + " y"), (22, "w3 w4 w5 no id here"),
+                   (23, " ".join(f"w{i}" for i in range(20, 70))), (24, long + " " + "z " * 4000), (None, "short item"),
+                   (25, long + " - " + long)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    find = lambda docs, **how: decontaminate.find_contamination(docs, bench, keep=["doc_id"], **how)
+    got = find(clashing(documents(given)), part_bytes=200, piece=10)
+    assert rows(got) == sorted(brute.contamination(given, items), key=repr)
+    whole, parts = (find(documents(given), locate=True, **how) for how in ({}, {"part_bytes": 200, "piece": 10}))
+    told = lambda df: rows(df.select("doc_id", F.array_sort("matches").alias("m")))
+    assert told(parts) == told(whole)
+    assert (20, [("1", 0, 1, 90), ("1", 0, 4, 3), ("5", 0, 1, 90)]) in [
+        (d, sorted(tuple(x) for x in m)) for d, m in told(parts)]
+    assert rows(find(documents(NO_ROWS), part_bytes=200)) == []
 
 
 # --- Token counts -------------------------------------------------------------------------------------------------
