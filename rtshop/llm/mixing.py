@@ -2,19 +2,21 @@
 
 Each source gets a target in words. Every document is first given the whole copies that are certain; what is then still
 missing to the target is drawn without replacement: a document gets an inclusion probability p, a uniform number u from
-a hash of its id, and the rank (u / (1 - u)) / (p / (1 - p)). The documents of smallest rank are taken until their words
+a hash of its id and text, and the rank (u / (1 - u)) / (p / (1 - p)). The documents of smallest rank are taken until their words
 fill the rest. That is a Pareto sample of fixed size (in words) with unequal probabilities: p grows with the document's
 length class, and is 1 for the classes for which it would exceed 1, whose extra copy is certain too.
 
 The order statistics are found without sorting a source: words are summed by source and bucket of the rank, the bucket
-in which the target falls is the only one that is ranked row by row, so no task gets a whole source.
+in which the target falls is the only one that is ranked, and there rows of one rank, that is copies, are drawn by their
+number. So no task gets a whole source or a large group of copies.
 
 Defined results
 ---------------
 * Null text has size 0. Sources are in code-point order, null last, and null is a source of its own.
 * A source without words has target 0. Documents of size 0 are never taken.
 * Equal ranks are ordered by ``doc_id`` (null first), then size. Rows that repeat have equal ranks; which of them are
-  taken makes no difference to the multiset of rows. A null ``doc_id`` hashes as "".
+  taken makes no difference to the multiset of rows. A null ``doc_id`` hashes as "", so rows without id differ by text.
+  Of rows with one id and text that differ in other columns, those first in the staged table are taken.
 * An empty table gives an empty result. More than ``MAX_SOURCES`` sources raise: weights are set by people, by source.
 """
 
@@ -24,6 +26,7 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rtshop.llm.common import count_words, staged
 
@@ -73,13 +76,21 @@ def length_class(size: Column) -> Column:
     return F.length(F.bin(size))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number strictly between 0 and 1 that depends on the id alone."""
-    text = F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))
-    bits = F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double")
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number strictly between 0 and 1 that depends on the id and the text alone."""
+    parts = [F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))]
+    bits = F.conv(F.substring(F.md5(F.concat(*parts)), 1, DIGITS), 16, 10).cast("double")
     return (bits + 0.5) / float(16 ** DIGITS)
 
 
+def _by_source(rows: DataFrame, found: DataFrame, shape: str | T.StructType) -> DataFrame:
+    """``rows`` with what was found for their source, one row for each source, so ``MAX_SOURCES`` at most; else null."""
+    fields = (T._parse_datatype_string(shape) if isinstance(shape, str) else shape).fields
+    source = T.StructField("found_source", rows.schema["mix_source"].dataType)
+    side = rows.sparkSession.createDataFrame(found.collect(), T.StructType([source, *fields]))
+    return rows.join(F.broadcast(side), F.col("mix_source").eqNullSafe(F.col("found_source")), "left").drop("found_source")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` of every row, and the columns named in ``keep``.
 
@@ -87,9 +98,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, keep: list[st
     """
     spark = docs.sparkSession
     kept = [c for c in keep or [] if c not in ("doc_id", "size", "source_size", "target", "taken", "copies")]
-    # Counted once; from here on no text is read.
+    # Counted once; from here on no text is read. The upper bits of ``place`` are the task that wrote the row.
     sized = staged(docs.select("doc_id", F.col("source").alias("mix_source"), *kept,
-                               count_words(F.col("text")).cast("long").alias("size")), "sizes")
+                               count_words(F.col("text")).cast("long").alias("size"),
+                               uniform(F.col("doc_id"), F.col("text")).alias("u"),
+                               F.monotonically_increasing_id().alias("place")), "sizes")
     by_class = (sized.groupBy("mix_source", length_class(F.col("size")).alias("c"))
                 .agg(F.sum("size").alias("words")).limit(64 * MAX_SOURCES + 1).collect())
     words: dict[str | None, dict[int, int]] = {}
@@ -107,7 +120,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, keep: list[st
     schema = "goal_source string, source_size long, target double, whole long, missing double, factor double"
     goals = spark.createDataFrame(plan, schema)
     p = F.least(F.lit(1.0), F.col("factor") * length_class(F.col("size")))
-    u = uniform(F.col("doc_id"))
+    u = F.col("u")
     ranked = (sized.join(F.broadcast(goals), F.col("mix_source").eqNullSafe(F.col("goal_source")))
               .drop("goal_source")
               .withColumn("p", F.when(F.col("size") > 0, p).otherwise(F.lit(0.0))))
@@ -124,18 +137,37 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, keep: list[st
     # The first bucket that ends beyond what is missing; in those before it all is taken.
     cross = (sums.filter(F.col("until") > F.col("missing")).groupBy("mix_source")
              .agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"))).alias("x"))
-             .select(F.col("mix_source").alias("cross_source"), F.col("x.bucket").alias("cross_bucket"),
-                     F.col("x.before").alias("before")))
-    # One row for each source, so no more than MAX_SOURCES.
-    placed = ranked.join(F.broadcast(cross), F.col("mix_source").eqNullSafe(F.col("cross_source")), "left")
-    inside = F.col("bucket") == F.col("cross_bucket")
-    sure = placed.filter(~F.coalesce(inside, F.lit(False))).withColumn(
-        "drawn", F.coalesce(F.col("bucket") < F.col("cross_bucket"),
-                            F.col("bucket").isNotNull() & F.col("cross_bucket").isNull()))
-    order = Window.partitionBy("mix_source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.filter(inside).withColumn(
-        "drawn", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
-        <= F.col("missing"))
+             .select("mix_source", "x.bucket", "x.before"))
+    placed = _by_source(ranked, cross, "cross_bucket int, before long")
+    inside = F.coalesce(F.col("bucket") == F.col("cross_bucket"), F.lit(False))
+    # In that bucket the rows of one rank are one line with their number; the first that is not taken whole ends the draw.
+    key = F.struct("rank", "doc_id", "size")
+    earlier = Window.partitionBy("mix_source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("missing") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("key.size")).over(earlier), F.lit(0))
+    last = (placed.filter(inside).groupBy("mix_source", key.alias("key"))
+            .agg(F.count("*").alias("n"), F.first("missing").alias("missing"), F.first("before").alias("before"))
+            .withColumn("fits", F.greatest(F.lit(0), F.floor(room / F.col("key.size") + 0.5)).cast("long"))
+            .filter("fits < n").groupBy("mix_source").agg(F.min(F.struct("key", "fits")).alias("x"))
+            .select("mix_source", "x.key", "x.fits"))
+    kind = T.StructType([T.StructField("last_key", last.schema["key"].dataType), T.StructField("fits", T.LongType())])
+    placed = _by_source(placed, last, kind)
+    tied = inside & (key == F.col("last_key"))
+    # Of the rows of that line as many as fit are taken, by the tasks that wrote them; one such task's are numbered.
+    task = F.shiftright("place", 33)
+    tasks = (placed.filter(tied).groupBy("mix_source", task.alias("task"))
+             .agg(F.count("*").alias("n"), F.first("fits").alias("fits"))
+             .withColumn("left", F.col("fits") - F.coalesce(F.sum("n").over(
+                 Window.partitionBy("mix_source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .filter(F.col("left") < F.col("n")).groupBy("mix_source").agg(F.min(F.struct("task", "left")).alias("x"))
+             .select("mix_source", "x.task", "x.left"))
+    placed = _by_source(placed, tasks, "last_task long, room long")
+    numbered = F.coalesce(tied & (task == F.col("last_task")), F.lit(False))
+    sure = placed.filter(~numbered).withColumn("drawn", F.when(
+        inside, F.when(tied, task < F.col("last_task")).otherwise(F.coalesce(key < F.col("last_key"), F.lit(True))))
+        .otherwise(F.coalesce(F.col("bucket") < F.col("cross_bucket"),
+                              F.col("bucket").isNotNull() & F.col("cross_bucket").isNull())))
+    edge = placed.filter(numbered).withColumn(
+        "drawn", F.row_number().over(Window.partitionBy("mix_source").orderBy("place")) <= F.col("room"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("drawn") & (F.col("missing") > 0), 1).otherwise(0)
                     ).otherwise(0)
     return (sure.unionByName(edge).withColumn("copies", copies.cast("long"))
@@ -156,7 +188,8 @@ def oracle(weights=WEIGHTS, most: int = MOST_COPIES) -> str:
     weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS content,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS weight
@@ -194,7 +227,7 @@ odds AS (
   SELECT s.*, g.source_size, g.target, g.whole, g.missing,
          CASE WHEN s.size = 0 OR g.missing = 0 THEN 0.0
               ELSE least(1.0, coalesce(f.factor, 1.0) * length(bin(s.size))) END AS p,
-         (('0x' || substr(md5('{SEED}' || coalesce(s.doc_id::VARCHAR, '')), 1, {DIGITS}))::BIGINT + 0.5)
+         (('0x' || substr(md5('{SEED}' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.content), 1, {DIGITS}))::BIGINT + 0.5)
            / {float(16 ** DIGITS)!r} AS u
   FROM sized s JOIN gaps g ON s.source IS NOT DISTINCT FROM g.source
   LEFT JOIN factors f ON s.source IS NOT DISTINCT FROM f.source),

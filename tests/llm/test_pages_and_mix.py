@@ -252,6 +252,29 @@ def test_mix_of_odd_rows(documents, odd):
     assert rows(mixing.mix(documents(NO_ROWS))) == []
 
 
+def test_rows_without_id_and_copies_are_drawn_by_their_number(spark, documents):
+    """Source a is wanted one and a half times: rows without id are drawn one by one, copies up to what is missing."""
+    given = [(None, f"t{i} " + "w " * 30, "a") for i in range(600)] + [(7, "same " * 40, "a")] * 600
+    given += [(1000 + i, f"u{i} " + "w " * 50, "a") for i in range(600)] + [(5000 + i, "v " * 60, "b") for i in range(1342)]
+    docs = documents(given).repartition(7)
+    got = mixing.mix(docs).collect()
+    own = [r for r in got if r["size"] < 60]
+    target, most = own[0]["target"], max(r["size"] for r in own)
+    assert abs(sum(r["taken"] for r in own) - target) <= most / 2 + 1e-6
+    copies = {n: Counter(r["copies"] for r in own if (r["doc_id"] is None, r["doc_id"] == 7) == n)
+              for n in ((True, False), (False, True), (False, False))}
+    assert len(copies[True, False]) == 2 and len(copies[False, False]) == 2
+    assert rows(mixing.mix(docs.repartition(3))) == sorted((tuple(r) for r in got), key=repr)
+
+
+def test_one_rank_for_all_rows_is_cut_by_number(documents):
+    """A source of copies of one row: the draw ends within them, at the target."""
+    given = [(7, "same " * 40, "b")] * 500 + [(i, f"x{i} " * 9, "a") for i in range(300)]
+    got = [r for r in mixing.mix(documents(given).repartition(5)).collect() if r["doc_id"] == 7 and r["size"] == 40]
+    assert len(got) == 500 and len({r["copies"] for r in got}) == 2
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 20
+
+
 def test_targets_reshare_the_excess():
     assert mixing.targets([("a", 10), ("b", 100), (None, 100)]) == {"a": 30.0, "b": 120.0, None: 60.0}
     assert mixing.targets([]) == {}
