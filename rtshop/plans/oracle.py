@@ -244,6 +244,11 @@ ORACLE: dict[str, str] = {
         SELECT o.id AS order_id, d.id AS detail_id,
                (epoch_us(d.arrived) - epoch_us(o.arrived)) // 1000000 AS lag_seconds
         FROM order_info o JOIN order_detail d ON d.order_id = o.id AND {_NEAR}""",
+    "order_detail_hot": f"""
+        WITH {_ORDERS}, {_DETAILS}
+        SELECT o.id AS order_id, d.id AS detail_id,
+               (epoch_us(d.arrived) - epoch_us(o.arrived)) // 1000000 AS lag_seconds
+        FROM order_info o JOIN order_detail d ON d.order_id = o.id AND {_NEAR}""",
     "order_wide": f"WITH {_WIDE} SELECT * FROM order_wide",
     "upsert_latest_by_id": f"""
         WITH {_ORDERS}

@@ -22,6 +22,7 @@ from rtshop.sources.dim_store import changelog, changelog_reader, expire_dims, r
 from rtshop.sources.records import file_stream, record_table
 from rtshop.sources.search_index import indexed_hits, kept_cube, roll_index, save_indexed
 from rtshop.streaming.dau import run_dau
+from rtshop.streaming.hot_orders import HOT, heavy_orders, spread_hot
 from rtshop.streaming.order_wide import run_order_wide
 from rtshop.streaming.router import run_router
 from rtshop.streaming.runtime import await_job, progress_table
@@ -290,6 +291,18 @@ def order_detail_interval(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("o_id").alias("order_id"), F.col("d_id").alias("detail_id"), lag.alias("lag_seconds"))
 
 
+@register
+def order_detail_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the largest orders spread, as hot from the middle of the arrivals on."""
+    left, right = orders.one_row_per_order(_orders(spark, sf)), _details(spark, sf)
+    first, last = right.agg(F.min("timestamp"), F.max("timestamp")).first()
+    since = None if first is None else first + (last - first) / 2
+    hot = spark.createDataFrame([(r["order_id"], since) for r in heavy_orders(right, 1 / 20_000, 1).collect()], HOT)
+    pairs = orders.order_detail_interval(*spread_hot(left, right, hot))
+    lag = F.unix_seconds("d_timestamp") - F.unix_seconds("o_timestamp")
+    return pairs.select(F.col("o_id").alias("order_id"), F.col("d_id").alias("detail_id"), lag.alias("lag_seconds"))
+
+
 @register
 def order_wide(spark: SparkSession, sf: str) -> DataFrame:
     """P4, P6, J1, J2, J5."""
