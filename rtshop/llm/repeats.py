@@ -43,6 +43,7 @@ from rtshop.llm.common import add_columns, discard, release, slices, staged
 
 LENGTH = 50
 GRAM = 24
+MASK = 63  # windows that share an anchor and are told by one mask
 BLOCK_BYTES = 1_000_000
 # Largest size of a bit filter, and how many bytes of text ask for one byte of it.
 FILTER_BYTES = 64 * 1024 * 1024
@@ -379,8 +380,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fi
     """``doc_id, tie, lost``: for each row of ``docs`` with windows that start in a smaller document too, where they are.
 
     ``tie`` is the low half of a hash of the text; ``lost`` lists (first window, mask): bit j of the mask says that the
-    window j bytes on is found earlier. Each step is staged, and what it shuffled is released before the next.
+    window j bytes on is found earlier. Each step is staged, and what it shuffled is released before the next. A mask has
+    ``MASK`` bits, so ``length`` may exceed ``gram`` by less than that.
     """
+    if not 0 <= length - gram < MASK:
+        raise ValueError(f"length {length} must exceed gram {gram} by less than {MASK}")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"),
                        F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")

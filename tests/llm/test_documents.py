@@ -192,6 +192,12 @@ def test_previous_factors_are_longest():
     assert repeats.previous_factors(suffixes, docs).tolist() == want
 
 
+def test_windows_beyond_a_mask_are_refused(documents):
+    for length, gram in ((100, 24), (20, 24)):
+        with pytest.raises(ValueError, match="must exceed gram"):
+            repeats.remove_repeats(documents(NO_ROWS), length=length, gram=gram)
+
+
 def test_repeats_keep_the_bytes_left(documents):
     passage = "".join(chr(97 + i % 26) + str(i) for i in range(40))
     got = repeats.remove_repeats(documents([(1, passage), (2, "before " + passage + " after")]), with_text=True)
