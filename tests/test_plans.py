@@ -188,3 +188,18 @@ def test_hot_device_and_hot_dimension_key(spark):
     plan = plan_of(merged)
     assert plan.index("partial_max_by") > plan.index("Exchange")
     assert rows_of(merged.filter("id = '1'")) == [("1", "29997")]
+
+
+@pytest.mark.parametrize("merge", [dims.compacted, dims.merge_dim_open])
+def test_cells_are_combined_in_even_parts(spark, merge):
+    """One block of a file may hold all changes: they are spread before they are split into cells."""
+    changes = hot_rows(spark).coalesce(1).select(
+        F.lit("DIM_USER_INFO").alias("dim_table"), F.col("hot").cast("string").alias("rowkey"),
+        F.col("hot").cast("string").alias("pk"), F.lit("UPDATE").alias("type"),
+        F.create_map(F.lit("id"), F.col("hot").cast("string"), F.lit("name"), F.col("id").cast("string")).alias("row"),
+        F.struct("id").alias("ord"))
+    merged = merge(changes)
+    plan = plan_of(merged)
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    assert plan.index("partial_max_by") < plan.index("REBALANCE_PARTITIONS_BY_COL")
+    assert merged.filter("rowkey = '1'").select(F.col("row")["name"]).first()[0] == "29997"
