@@ -195,3 +195,21 @@ def test_statistics_of_nothing(spark):
     rows = spark.createDataFrame([(1, "red")], "detail_id long, sku_name string")
     assert R.ranked_page(rows, stats).first()["score"] == 0.0
     assert R.query_words(spark, " - ") == []
+
+
+def test_a_save_computes_its_batch_once_and_leaves_only_its_tables(spark, folder):
+    """The rows of a batch are read back from the day table; first saves look for nothing to take back."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(row):
+        seen.add(1)
+        return row
+
+    rows = [(D1 if i % 2 else D2, i % 40, "red gear", 25, "F", 1.0, i) for i in range(80)]
+    made = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(noted), SHAPE)
+    for number in (0, 1):
+        I.save_indexed(made, f"{folder}/wide", f"{folder}/index", number)
+    assert seen.value == 160
+    assert sorted(I.Store(spark, f"{folder}/index").names()) == sorted(I.TABLES)
+    assert rows_of(I.kept_cube(spark, f"{folder}/index")) == rows_of(
+        zero(sale_cube(daily_table(spark, f"{folder}/wide", ["detail_id"]))))
