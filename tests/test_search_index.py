@@ -213,3 +213,39 @@ def test_a_save_computes_its_batch_once_and_leaves_only_its_tables(spark, folder
     assert sorted(I.Store(spark, f"{folder}/index").names()) == sorted(I.TABLES)
     assert rows_of(I.kept_cube(spark, f"{folder}/index")) == rows_of(
         zero(sale_cube(daily_table(spark, f"{folder}/wide", ["detail_id"]))))
+
+
+def test_sparse_ids_share_ranges(spark, folder):
+    """Ids with large gaps: counts by range of ids are few, and pages and repeats are as with ids without gaps."""
+    step = 1_000_000_007
+    rows = [(D1 if i % 2 else D2, i * step, "red gear", 20, "M", 1.0) for i in range(-2000, 2000)]
+    batch(spark, folder, 0, rows, repeats=2)
+    batch(spark, folder, 1, [(D1, step, "blue", 20, "M", 1.0), (D1, None, "red", 20, "M", 1.0)])
+    assert saved_rows(spark, f"{folder}/index/ranges").count() <= 10
+    page = I.indexed_page(spark, f"{folder}/wide", f"{folder}/index", "red", D1, 101, 10)
+    hits = [i * step for i in range(-1999, 2000, 2) if i != 1]
+    assert [k for k, _ in ids(page)] == hits[1000:1010]
+    assert [k for k, _ in ids(I.indexed_page(spark, f"{folder}/wide", f"{folder}/index", "red", D1, 200, 10))] == [*hits[1990:], None]
+
+
+def test_postings_are_rolled_from_a_rolled_day_table_without_a_shuffle(spark, folder):
+    for rolled in (True, False):
+        place = f"{folder}-{rolled}"
+        batch(spark, place, 0, [(D1, i, "red gear", 20, "M", 1.0) for i in range(6)])
+        batch(spark, place, 1, [(D2, 3, "blue", 20, "M", 1.0), (D1, 3, "blue gear", 20, "M", 1.0)])
+        batch(spark, place, 2, [(D1, 4, "gear gear", 20, "M", 1.0)])
+        if rolled:
+            roll_days(spark, f"{place}/wide", ["detail_id"])
+        assert I._rolled_to(spark, f"{place}/wide", 1) == rolled
+        I.roll_index(spark, f"{place}/wide", f"{place}/index")
+        base = saved_rows(spark, f"{place}/index/postings").filter("_batch_id < 2").select("dt", "detail_id", "term", "tf")
+        assert rows_of(base) == sorted(
+            [(D1, i, w, 1) for i in range(6) if i != 3 for w in ("red", "gear")]
+            + [(D1, 3, "blue", 1), (D1, 3, "gear", 1), (D2, 3, "blue", 1)], key=repr)
+
+
+def test_texts_are_split_once(spark):
+    rows = spark.createDataFrame([(1, "red red gear"), (2, None), (3, " ")], "id long, name string")
+    found = R.term_rows(rows, "name", "id")
+    assert rows_of(found) == sorted([(1, 3, "red", 2), (1, 3, "gear", 1)], key=repr)
+    assert plan_of(found).count("regexp_extract_all") == 1
