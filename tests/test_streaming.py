@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from helpers import START, at, change, detail_message, log_message, order_message, rows_of
+from helpers import START, as_value, at, change, detail_message, log_message, order_message, rows_of
 from pyspark.errors import StreamingQueryException
 
 from rtshop.operators import dims, logs, orders
@@ -193,6 +193,23 @@ def test_router_publishes_through_a_function(spark, records, write_file, folder)
     assert sent == [("DWD_ORDER_INFO_I", "1")]
 
 
+def test_router_keeps_no_batch_and_finds_escaped_names(spark, records, write_file, folder, monkeypatch):
+    """Each output parses what can be its own, also names whose characters are given by number; nothing is kept."""
+    kept = []
+    keep = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *level: kept.append(df) or keep(df, *level))
+    escaped = [as_value(change(name, "INSERT", {"id": i, "order_id": 1})).replace("r_i", "r\\u005fi").replace("r_d", "r\\u005Fd")
+               for i, name in enumerate(("user_info", "order_info", "order_detail"))]
+    assert all("u005" in text for text in escaped)
+    write_file(records([*escaped, change("user_info", "INSERT", {"id": 7, "order_id": 2}), None, "{"]), f"{folder}/in")
+    run_router(file_stream(spark, f"{folder}/in"), f"{folder}/topics", f"{folder}/dims", f"{folder}/checkpoint",
+               interval=None).awaitTermination()
+    assert rows_of(record_table(spark, f"{folder}/topics"), "topic", "key") == [
+        ("DWD_ORDER_DETAIL_I", "1"), ("DWD_ORDER_INFO_I", "1")]
+    assert rows_of(dims.dim_rows(changelog(spark, f"{folder}/dims"), "DIM_USER_INFO", ("id",))) == [("0",), ("7",)]
+    assert not kept
+
+
 def order_job(spark, folder, salt=4, **how):
     users = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", USER)
     provinces = changelog_reader(f"{folder}/dims", "DIM_BASE_PROVINCE", PROVINCE)
