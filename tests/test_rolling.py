@@ -180,3 +180,61 @@ def test_the_search_sees_the_last_row_of_a_batch(spark, folder):
         want = rows_of(keep(daily_table(spark, folder, ["id"], *days)), "dt", "id", "name")
         assert rows_of(searched_table(spark, folder, ["id"], keep, *days), "dt", "id", "name") == want
     assert want == [(D2, None, "red")]
+
+
+# ---- files of a day --------------------------------------------------------------------------------------------
+
+def spread_rows(spark, rows=4000, tasks=8):
+    """Rows of three days, the second with most of them, in tasks that hold rows of all days."""
+    day = F.when(F.col("id") % 10 == 0, D1).when(F.col("id") % 10 == 1, "2024-01-12").otherwise(D2)
+    return spark.range(0, rows, 1, tasks).select(
+        day.alias("dt"), "id", F.sha2(F.col("id").cast("string"), 256).alias("name"), F.lit(0).cast("long").alias("offset"))
+
+
+def files_of(store, pattern):
+    return {day: len(store.matching(f"{pattern}/dt={day}/{rest}")) for day, rest in (
+        (day, "part-*" if "_base" in pattern else "_batch_id=0/part-*") for day in (D1, D2, "2024-01-12"))}
+
+
+@pytest.fixture
+def every_task_counts(spark):
+    """Small shuffles are not made smaller, as large ones are not."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_files_of_a_day_do_not_multiply_with_tasks(spark, folder, every_task_counts):
+    rows = spread_rows(spark)
+    save_daily(rows, folder, 0)
+    assert set(files_of(Store(spark, folder), ".").values()) == {1}
+    save_daily(rows.filter("id < 100").withColumn("name", F.lit("new")), folder, 1)
+    save_daily(rows.filter("id < 10"), folder, 2)
+    before = sorted(rows_of(daily_table(spark, folder, ["id"])))
+    roll_days(spark, folder, ["id"])
+    assert set(files_of(Store(spark, folder), "_base/*").values()) == {1}
+    assert len(before) == 4000 and sorted(rows_of(daily_table(spark, folder, ["id"]))) == before
+
+
+def test_a_large_day_is_saved_and_rolled_in_parts(spark, folder, every_task_counts):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "32k")
+    try:
+        save_daily(spread_rows(spark), folder, 0)
+        save_daily(spread_rows(spark, 10), folder, 1)
+        roll_days(spark, folder, ["id"])
+    finally:
+        spark.conf.unset(size)
+    for pattern in (".", "_base/*"):
+        assert files_of(Store(spark, folder), pattern)[D2] > 1, pattern
+    assert daily_table(spark, folder, ["id"]).count() == 4000
+
+
+def test_keys_without_value_and_days_are_told_apart(spark, folder):
+    save(spark, folder, 0, (D1, None, "a", 0), (D2, None, "b", 0), (D1, 1, "c", 0), (D2, 1, "d", 0), (D1, 1, "e", 1))
+    save(spark, folder, 1, (D2, None, "f", 0))
+    expected = [(D1, 1, "e"), (D1, None, "a"), (D2, 1, "d"), (D2, None, "f")]
+    table = lambda: sorted(map(tuple, daily_table(spark, folder, ["id"]).select("dt", "id", "name").collect()), key=str)
+    assert table() == sorted(expected, key=str)
+    roll_days(spark, folder, ["id"])
+    assert table() == sorted(expected, key=str)
