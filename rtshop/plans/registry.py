@@ -587,15 +587,21 @@ def stream_dim_roll(spark: SparkSession, sf: str) -> DataFrame:
 
     read = changelog_reader(f"{folder}/dims", "DIM_USER_INFO", USER_COLUMNS)
     keys = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    def note(phase: str, rows: DataFrame) -> None:
+        rows.write.parquet(f"{folder}/seen/phase={phase}")
+
     route(0), route(1)
     meanwhile = read(spark, keys)
     roll_dims(spark, f"{folder}/dims")
-    phases = {"meanwhile": meanwhile, "rolled": read(spark, keys)}
-    route(2), route(2)
-    roll_dims(spark, f"{folder}/dims")
-    phases["end"] = read(spark, keys)
-    rows = [df.select(F.lit(name).alias("phase"), *USER_COLUMNS) for name, df in phases.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    note("meanwhile", meanwhile)
+    note("rolled", read(spark, keys))
+    for _ in range(2):
+        route(2)
+        roll_dims(spark, f"{folder}/dims")
+    # All earlier readers have read: nothing but the last base and the batch after it stays.
+    expire_dims(spark, f"{folder}/dims", keep=1)
+    note("end", read(spark, keys))
+    return spark.read.parquet(f"{folder}/seen").select("phase", *USER_COLUMNS)
 
 
 @register

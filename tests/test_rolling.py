@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from rtshop.operators.changes import dim_changes, row_changes
 from rtshop.operators.dims import dim_rows
+from rtshop.plans.registry import stream_dim_roll
+from rtshop.session import shared_dir
 from rtshop.sinks.batches import save_daily
 from rtshop.sources import manifest as M
 from rtshop.sources.daily import daily_table, expire_days, roll_days, saved_rows, searched_table
@@ -107,6 +109,23 @@ def test_the_number_of_buckets_stays(spark, records, folder):
     assert rows_of(changelog_reader(folder, "DIM_USER_INFO", COLUMNS)(spark, asked(spark, 1))) == [("1", "b")]
 
 
+def test_the_registered_query_rolls_three_times_and_removes_what_was_replaced(spark, folder):
+    customers = spark.createDataFrame([(1, "a", "HOUSEHOLD"), (2, "b", "MACHINERY"), (3, "c", "BUILDING")],
+                                      "c_custkey long, c_name string, c_mktsegment string")
+    customers.write.parquet(f"{folder}/customer.parquet")
+    before = set(Store(spark, shared_dir(spark)).names())
+    early = [("1", "a_u", "M", "HOUSEHOLD"), ("2", "b_u", "M", "MACHINERY"), ("3", "c", "M", "BUILDING")]
+    end = [early[0], ("2", "b_d", "M", "MACHINERY"), early[2]]
+    want = [("end", *r) for r in end] + [("meanwhile", *r) for r in early] + [("rolled", *r) for r in early]
+    assert rows_of(stream_dim_roll(spark, folder)) == want
+    made, = [name for name in Store(spark, shared_dir(spark)).names() if name not in before and name.startswith("stream_dim_roll-")]
+    dims = f"{shared_dir(spark)}/{made}/dims"
+    manifest = M.read_manifest(spark, dims)
+    # Three starts, the last one sent twice: a roll after the second and after each sending of the third.
+    assert (manifest.version, manifest.parts["DIM_USER_INFO"].after) == (3, 2)
+    assert M.batches(spark, dims, "dim_table=*/bucket=*") == [3] and len(Store(spark, dims).names(M.BASES)) == 1
+
+
 # ---- day tables ------------------------------------------------------------------------------------------------
 
 def test_days_are_rolled_without_a_gap(spark, folder):
