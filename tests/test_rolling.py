@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rtshop.operators.changes import dim_changes, row_changes
 from rtshop.operators.dims import dim_rows
 from rtshop.plans.registry import stream_dim_roll
-from rtshop.session import shared_dir
+from rtshop.session import DROP_SHUFFLES, shared_dir
 from rtshop.sinks.batches import save_daily
 from rtshop.sources import manifest as M
 from rtshop.sources.daily import daily_table, expire_days, roll_days, saved_rows, searched_table
@@ -257,3 +257,42 @@ def test_keys_without_value_and_days_are_told_apart(spark, folder):
     assert table() == sorted(expected, key=str)
     roll_days(spark, folder, ["id"])
     assert table() == sorted(expected, key=str)
+
+
+# ---- disk ------------------------------------------------------------------------------------------------------
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_saves_and_rolls_leave_no_shuffle_files(spark, folder):
+    rows = [(D1, i, f"red{i}", i) for i in range(50)] + [(D2, i, "blue", i) for i in range(50)]
+    frames = [spark.createDataFrame(rows, SHAPE).repartition(3, "id") for _ in range(2)]
+    before = shuffle_files(spark)
+    for batch, frame in enumerate(frames):
+        save_daily(frame, folder, batch)
+    roll_days(spark, folder, ["id"])
+    assert shuffle_files(spark) <= before
+    assert daily_table(spark, folder, ["id"]).count() == 100
+    # What is not saved here is as the session says.
+    assert spark.conf.get(DROP_SHUFFLES, "false") == "false"
+
+
+def test_a_roll_takes_days_some_at_a_time(spark, folder, monkeypatch):
+    from rtshop.sources import daily
+    days = [f"2024-01-{d:02d}" for d in range(1, 7)]
+    for batch in range(3):
+        save(spark, folder, batch, *[(day, i, f"n{batch}", i) for day in days for i in range(batch, 4)])
+    one = Store(spark, folder).size(f"dt={days[0]}")
+    assert one > 0 and list(daily._at_once(spark, folder, days, M.Manifest(0, {}))) == [days]
+    monkeypatch.setattr(daily, "ROLLED_AT_ONCE", 2.5 * one / spark.sparkContext.defaultParallelism)
+    assert list(daily._at_once(spark, folder, days, M.Manifest(0, {}))) == [days[:2], days[2:4], days[4:]]
+    before = rows_of(daily_table(spark, folder, ["id"]), "dt", "id", "name")
+    manifest = roll_days(spark, folder, ["id"])
+    assert {part.base for part in manifest.parts.values()} == {manifest.parts[days[0]].base} and len(manifest.parts) == 6
+    assert rows_of(daily_table(spark, folder, ["id"]), "dt", "id", "name") == before
+    assert saved_rows(spark, folder).filter("_batch_id < 2").count() == 24
+    # The base counts as well when a later roll takes days up.
+    assert sum(map(len, daily._at_once(spark, folder, days, manifest))) == 6
+    assert len(list(daily._at_once(spark, folder, days, manifest))) > 3

@@ -249,3 +249,27 @@ def test_texts_are_split_once(spark):
     found = R.term_rows(rows, "name", "id")
     assert rows_of(found) == sorted([(1, 3, "red", 2), (1, 3, "gear", 1)], key=repr)
     assert plan_of(found).count("regexp_extract_all") == 1
+
+
+def test_an_index_leaves_no_shuffle_files_and_small_postings(spark, folder):
+    from test_rolling import shuffle_files
+    before = shuffle_files(spark)
+    rows = [(D1, i * 1000, "red big widget", 20, "M", 1.0) for i in range(5000)]
+    batch(spark, folder, 0, rows)
+    batch(spark, folder, 1, rows[:100])
+    roll_days(spark, f"{folder}/wide", ["detail_id"])
+    I.roll_index(spark, f"{folder}/wide", f"{folder}/index")
+    assert shuffle_files(spark) <= before
+    lists = saved_rows(spark, f"{folder}/index/postings")
+    assert set(lists.columns) == {"term", "detail_id", "tf", "length", "dt", "_batch_id"}
+    # 15,000 lines of a key of eight bytes each, in order.
+    assert I.Store(spark, f"{folder}/index/postings").size("dt=*/_batch_id=0") < 15_000 * 8
+
+
+def test_words_of_one_key_in_different_rows_of_a_batch_are_no_hit(spark, folder):
+    batch(spark, folder, 0, [(D1, 1, "red", 20, "M", 1.0), (D1, 1, "widget", 20, "M", 1.0), (D1, 2, "red widget", 20, "M", 1.0),
+                             (D1, 3, "red red", 20, "M", 1.0), (D1, None, "widget red", 20, "M", 1.0)])
+    batch(spark, folder, 1, [(D1, 3, "widget", 20, "M", 1.0)])
+    hits = I.indexed_hits(spark, f"{folder}/wide", f"{folder}/index", "red widget", D1)
+    assert rows_of(hits, "detail_id") == [(2,), (None,)]
+    assert rows_of(I.indexed_hits(spark, f"{folder}/wide", f"{folder}/index", "red", D1), "detail_id") == [(2,), (None,)]
