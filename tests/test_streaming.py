@@ -7,9 +7,12 @@ from helpers import START, as_value, at, change, detail_message, log_message, or
 from pyspark.errors import StreamingQueryException
 
 from rtshop.operators import dims, logs, orders
+from rtshop.operators.changes import dim_changes, row_changes
+from rtshop.session import STATE_STORE
 from rtshop.sinks.batches import topic_folder
 from rtshop.sources.daily import daily_table, rejected_table, saved_rows
 from rtshop.sources.dim_store import changelog, changelog_reader, save_changes
+from rtshop.sources.files import Store
 from rtshop.sources.records import file_stream, record_table
 from rtshop.streaming.dau import dau_stream, run_dau
 from rtshop.streaming.hot_orders import hot_orders, register_hot
@@ -221,7 +224,6 @@ def order_job(spark, folder, salt=4, **how):
 
 
 def dim_save(records, folder, batch_id, *messages):
-    from rtshop.operators.changes import dim_changes, row_changes
     rows = row_changes(records(list(messages), first_offset=batch_id * 100))
     save_changes(dim_changes(rows, order=["timestamp", "partition", "offset"]), f"{folder}/dims", batch_id)
 
@@ -335,3 +337,42 @@ def test_what_a_job_holds_can_be_read(spark, records, write_file, folder):
     lines = sorted(progress_table(spark, f"{folder}/progress").collect(), key=lambda r: r["batch"])
     assert [(r["batch"], r["input_rows"], r["state_rows"]) for r in lines] == [(0, 2, 2), (1, 2, 3), (2, 2, 4)]
     assert all(b["offsets"][0]["start"] == a["offsets"][0]["end"] for a, b in zip(lines, lines[1:]))
+
+
+def test_dimension_rows_of_a_batch_are_looked_up_from_its_cache(spark, records, write_file, folder, monkeypatch):
+    from rtshop.streaming import order_wide
+    rows = row_changes(records([change("user_info", "INSERT", *[{"id": i, "birthday": "2000-01-01", "gender": "M"} for i in range(3)]),
+                                change("base_province", "INSERT", {"id": 1, "name": "north"})]))
+    save_changes(dim_changes(rows, order=["offset"]), f"{folder}/dims", 0)
+    write_file(records([order_message(i, user=i) for i in range(3)]), f"{folder}/orders")
+    write_file(records([detail_message(i, i) for i in range(3)]), f"{folder}/details")
+    read = [changelog_reader(f"{folder}/dims", name, own) for name, own in (("DIM_USER_INFO", USER), ("DIM_BASE_PROVINCE", PROVINCE))]
+    leaves, found = [], []
+
+    def save(rows, path, batch_id):
+        plan = rows._jdf.queryExecution().withCachedData().collectLeaves()
+        leaves.extend(plan.apply(i).nodeName().split()[0] for i in range(plan.size()))
+        found.extend(rows_of(rows, "detail_id", "user_gender", "province_name"))
+    monkeypatch.setattr(order_wide, "save_daily", save)
+    monkeypatch.setattr("rtshop.sources.dim_store.NAMED_KEYS", 1)
+    run_order_wide(file_stream(spark, f"{folder}/orders"), file_stream(spark, f"{folder}/details"), *read, f"{folder}/wide",
+                   f"{folder}/checkpoint", as_of=AS_OF, interval=None, partitions=2).awaitTermination()
+    assert found == [(i, "M", "north") for i in range(3)]
+    # Neither the batch nor its state is computed once more for the keys.
+    assert "LogicalRDD" not in leaves and "InMemoryRelation" in leaves
+
+
+def test_state_is_off_the_heap_in_a_session_made_elsewhere(spark, write_file, folder):
+    write_file(spark.range(20), f"{folder}/in")
+    other, kinds = spark.newSession(), []
+    for chosen in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        for key in STATE_STORE:
+            other.conf.unset(key)
+        if chosen:
+            other.conf.set("spark.sql.streaming.stateStore.providerClass", chosen)
+        rows = other.readStream.schema("id long").parquet(f"{folder}/in").dropDuplicates(["id"])
+        place = f"{folder}/checkpoint{len(kinds)}"
+        start_job(rows, lambda batch, batch_id: None, place, "state", interval=None, partitions=1).awaitTermination()
+        kinds.append({name.rsplit(".", 1)[1] for name in Store(spark, place).matching("state/0/0/1.*")})
+        assert other.conf.get("spark.sql.streaming.stateStore.providerClass", None) == chosen
+    assert ["delta" in kind for kind in kinds] == [False, True] and "changelog" in kinds[0]
